@@ -25,13 +25,21 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the session names, so lost executors lose nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the session names (``spark.checkpoint.dir``).
 
-    Only a session without such a folder (a test on one machine) gets one of its own.
+    Only a session without one, as in tests on one machine, gets a folder of its own.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        named = tempfile.mkdtemp(prefix="gleanframe-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder, so that lost executors lose nothing."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gleanframe-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -157,7 +157,8 @@ def oracle_sql() -> dict[str, str]:
         "date_texts": f"""
             SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 4 THEN {minute} END AS "at" FROM orders""",
         "flat_labels": f"""
-            SELECT o_orderkey, c_name AS customer, o_orderstatus AS status, '№ ' || o_orderpriority AS price,
+            SELECT o_orderkey, c_name || '; Состояние: ' || o_orderstatus AS customer, o_orderstatus AS status,
+                o_orderpriority || ' Размещено ' || o_orderkey AS price,
                 CAST(o_orderkey AS VARCHAR) AS published, CAST(NULL AS VARCHAR) AS deadline
             FROM ({ORDERS})""",
         "clean_documents": """
@@ -292,7 +293,7 @@ def oracle_sql() -> dict[str, str]:
                 first_seen_at
             FROM merged ORDER BY first_seen_at DESC, source, external_id LIMIT 20""",
         "newest_payload": f"""{MERGED}
-            SELECT source, external_id, '{{ }}' AS payload
+            SELECT source, external_id, '{{}}' AS payload
             FROM merged ORDER BY first_seen_at DESC, source, external_id LIMIT 1""",
         "attachment_merge": f"{MERGED_FILES} SELECT * FROM merged",
         "newest_attachments": f"""{MERGED_FILES}
@@ -387,8 +388,8 @@ def oracle_sql() -> dict[str, str]:
             )""",
         "host_slots": """
             WITH RECURSIVE r AS (
-                SELECT event_id, 'h' || user_id || '.example' AS host, epoch_ms(ts) AS a, 36000000 + event_id % 750 AS g,
-                    row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS rn
+                SELECT event_id, 'h' || user_id || '.example' AS host, (epoch_us(ts) // 1000) AS a, 36000000 + event_id % 750 AS g,
+                    row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS rn
                 FROM events
             ),
             s AS (

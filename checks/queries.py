@@ -228,7 +228,7 @@ def page_chains(spark: SparkSession, folder: str) -> DataFrame:
         .when(way == 1, text('<a href="?page=', place, '">Далее</a><a href="?page=', following, '"> далее </a>'))
         .otherwise(text('<a href="/other?page=1">1</a><a href="?page=', following, '">2</a>'))
     )
-    pages = render.list_pages(entries, text("https://n.example/list/", catalogue, "?page=", place), link)
+    pages = render.list_pages(entries, text("https://n.example/list/", catalogue, "?page=", place), link, endless=True)
     extracted = references.extract_references(pages, NOTICES)
     named = extracted.select(
         F.regexp_extract("page_url", r"/list/(\d+)", 1).alias("source"), "page_url", "next_url"
@@ -259,10 +259,8 @@ def incremental_refs(spark: SparkSession, folder: str) -> DataFrame:
         .withColumn("page_url", text("/", F.col("page_no")))
     )
     # One copy per id and page: the first one.
-    ids = F.transform("refs", lambda r: r["external_id"])
-    pages = pages.withColumn(
-        "refs", F.filter(F.col("refs"), lambda r, i: F.array_position(ids, r["external_id"]) == i + 1)
-    )
+    first = F.filter("refs", lambda r, i: F.array_position(F.col("refs.external_id"), r["external_id"]) == i + 1)
+    pages = pages.withColumn("refs", first)
     customers = table(spark, folder, "customer")
     checkpoints = customers.select(
         text("c", F.col("c_custkey")).alias("source"),

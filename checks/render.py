@@ -77,7 +77,7 @@ def notice_pages(rows: DataFrame) -> DataFrame:
         F.when(layout == 0, text("<table>", *cells, "</table>"))
         .when(layout == 1, text("<dl>", *terms, "</dl>"))
         .when(layout == 2, text(*spans))
-        .otherwise(text("<p>Сведения о закупке. ", *running, "</p>"))
+        .otherwise(text("<p>Сведения о закупке. ", *running, "Код товара: 1</p>"))
     )
     links = text(
         '<a href="javascript:print()">Печать</a>'
@@ -91,10 +91,16 @@ def notice_pages(rows: DataFrame) -> DataFrame:
     return rows.select(notice_url(F.col("o_orderkey")).alias("url"), html.alias("html"))
 
 
-def list_pages(entries: DataFrame, page_url: Column, next_link: Column) -> DataFrame:
-    """``url, html`` of list pages from ``page, pos, entry`` rows; a page holds few entries."""
+def list_pages(entries: DataFrame, page_url: Column, next_link: Column, endless: bool = False) -> DataFrame:
+    """``url, html`` of list pages from ``page, pos, entry`` rows; a page holds few entries.
+
+    The last page has no next link unless ``endless``.
+    """
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "entry"))), lambda e: e["entry"]), "")
     pages = entries.groupBy("page").agg(body.alias("body"))
+    if not endless:
+        last = entries.agg(F.max("page")).scalar()
+        next_link = F.when(F.col("page") < last, next_link).otherwise(F.lit(""))
     return pages.select(
         page_url.alias("url"),
         text("<html><body><main>", F.col("body"), "</main>", next_link, "</body></html>").alias("html"),

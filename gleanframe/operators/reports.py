@@ -23,13 +23,14 @@ def newest_listings(listings: DataFrame, count: int = NEWEST) -> DataFrame:
 
 
 def newest_payload(listings: DataFrame) -> DataFrame:
-    """Pretty JSON of the newest record's payload."""
+    """Pretty JSON of the newest record's payload, which has its own shape."""
     newest = listings.orderBy(F.desc("first_seen_at"), "source", "external_id").limit(1)
-    return newest.select(
-        "source",
-        "external_id",
-        F.to_json(F.parse_json("raw_payload"), {"pretty": "true"}).alias("payload"),
+    row = newest.select("raw_payload").first()
+    shape = F.schema_of_json(F.lit(row.raw_payload if row else "{}"))
+    pretty = F.to_json(
+        F.from_json("raw_payload", shape), {"pretty": "true", "ignoreNullFields": "false"}
     )
+    return newest.select("source", "external_id", pretty.alias("payload"))
 
 
 def newest_attachments(attachments: DataFrame, count: int = NEWEST) -> DataFrame:

@@ -293,7 +293,8 @@ def oracle_sql() -> dict[str, str]:
                 first_seen_at
             FROM merged ORDER BY first_seen_at DESC, source, external_id LIMIT 20""",
         "newest_payload": f"""{MERGED}
-            SELECT source, external_id, '{{}}' AS payload
+            SELECT source, external_id, '{{' || chr(10) || '  "doc_id" : ' || external_id || ',' || chr(10) ||
+                '  "text" : {{' || chr(10) || '    "lang" : "' || title || '"' || chr(10) || '  }}' || chr(10) || '}}' AS payload
             FROM merged ORDER BY first_seen_at DESC, source, external_id LIMIT 1""",
         "attachment_merge": f"{MERGED_FILES} SELECT * FROM merged",
         "newest_attachments": f"""{MERGED_FILES}

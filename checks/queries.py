@@ -111,7 +111,7 @@ def cursor_urls(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Title, heading, text and number of links of all pages."""
-    nodes = table(spark, folder, "pages").select("page_id", "url", page_nodes(F.col("html")).alias("doc"))
+    nodes = render.spread(table(spark, folder, "pages")).select("page_id", "url", page_nodes(F.col("html")).alias("doc"))
     split = nodes.select("page_id", F.col("doc.texts").alias("texts"), F.col("doc.nodes").alias("nodes"))
     page = Page(F.col("texts"), F.col("nodes"))
     marked = split.select("*", page.marks((by_tag("title"), by_tag("h1"), by_attr("href", tag="a"))).alias("marks"))
@@ -127,7 +127,7 @@ def page_facts(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_links(spark: SparkSession, folder: str) -> DataFrame:
     """Every link of every page: absolute URL, id, file name and content type."""
-    nodes = table(spark, folder, "pages").select("page_id", "url", page_nodes(F.col("html")).alias("doc"))
+    nodes = render.spread(table(spark, folder, "pages")).select("page_id", "url", page_nodes(F.col("html")).alias("doc"))
     split = nodes.select(
         "page_id", "url", F.col("doc.texts").alias("texts"), F.col("doc.nodes").alias("nodes"),
         urls.url_base(F.col("url")).alias("base"),
@@ -162,7 +162,7 @@ def purchase_extract(spark: SparkSession, folder: str) -> DataFrame:
 
 def product_extract(spark: SparkSession, folder: str) -> DataFrame:
     """Product pages of all parts read back to records."""
-    pages = render.product_pages(table(spark, folder, "part"))
+    pages = render.product_pages(render.parts(spark, folder))
     listed = records.complete_products(
         records.with_own_references(records.extract_products(pages, SHOP)), SHOP
     )
@@ -202,7 +202,7 @@ def purchase_refs(spark: SparkSession, folder: str) -> DataFrame:
 
 def product_refs(spark: SparkSession, folder: str) -> DataFrame:
     """References of all part list pages."""
-    extracted = references.extract_references(render.product_lists(table(spark, folder, "part")), SHOP)
+    extracted = references.extract_references(render.product_lists(render.parts(spark, folder)), SHOP)
     refs = references.explode_references(extracted)
     return refs.select("page_url", "pos", "external_id", "url", ntz(F.col("published_at")).alias("published_at"), "title_hint")
 
@@ -319,7 +319,8 @@ def _incoming_listings(spark: SparkSession, folder: str) -> DataFrame:
     by_document = _empty_listing(
         table(spark, folder, "documents"),
         source=F.lit("documents"), external_id=F.col("doc_id"), kind=F.lit("product"), title=F.col("lang"),
-        description=F.col("source"), price=F.col("n_chars"), url=text("/d/", F.col("doc_id")), raw_payload=F.lit("{}"),
+        description=F.col("source"), price=F.col("n_chars"), url=text("/d/", F.col("doc_id")),
+        raw_payload=F.to_json(F.struct("doc_id", F.struct("lang").alias("text"))),
     ).withColumn("pos", F.col("external_id").cast("bigint"))
     return by_order.unionByName(by_document)
 
@@ -617,7 +618,7 @@ def _run_folder(spark: SparkSession) -> str:
 def harvest_run(spark: SparkSession, folder: str) -> DataFrame:
     """Both catalogues over all orders and parts: list pages to state tables to totals."""
     orders = render.orders(spark, folder)
-    parts = table(spark, folder, "part")
+    parts = render.parts(spark, folder)
     root = _run_folder(spark)
     landed = [
         render.as_landed(render.notice_lists(orders, F.col("o_orderkey")), render.NOTICES, "list"),
@@ -642,7 +643,7 @@ def harvest_run(spark: SparkSession, folder: str) -> DataFrame:
 def stream_run(spark: SparkSession, folder: str) -> DataFrame:
     """Product pages of all parts through the streaming ingest."""
     root = _run_folder(spark)
-    pages = render.as_landed(render.product_pages(table(spark, folder, "part")), render.SHOP, "detail")
+    pages = render.as_landed(render.product_pages(render.parts(spark, folder)), render.SHOP, "detail")
     pages.write.parquet(f"{root}/pages")
     tables = initialise(spark, f"{root}/state", buckets=8)
     query = ingest_pages(

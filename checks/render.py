@@ -22,6 +22,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores if their table has fewer files than that.
+
+    Rendering turns a small file into many pages, and reading those is the work. A table
+    with enough files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -44,7 +54,7 @@ def day_first(at: Column) -> Column:
 
 def orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with their customer, a publication minute and a deadline a week later."""
-    rows = table(spark, folder, "orders").join(
+    rows = spread(table(spark, folder, "orders")).join(
         table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"),
         "o_custkey",
     )
@@ -137,6 +147,11 @@ def notice_list_url(page: Column) -> Column:
 
 # --- products ------------------------------------------------------------------------
 
+
+def parts(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "part"))
+
+
 AVAILABILITY_TEXT = ("В наличии", "Нет в наличии", "Под заказ")
 
 

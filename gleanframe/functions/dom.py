@@ -158,7 +158,9 @@ class Page:
         Field order puts ``parent`` and ``i`` first, so sorting hits puts them row by row.
         """
         keys = _keys(labels)
-        starts = f"(?iu)^[{LABEL_EDGE}]*(?:" + "|".join(re.escape(k) for k in keys) + ")"
+        # The look at the first letter rejects most texts before the labels are tried.
+        letters = "".join(sorted({re.escape(k[0]) for k in keys}))
+        starts = f"(?iu)^[{LABEL_EDGE}]*+(?=[{letters}])(?:" + "|".join(map(re.escape, keys)) + ")"
         key_array = F.array(*[F.lit(k) for k in keys])
 
         def may_match(n: Column) -> Column:

@@ -1,10 +1,12 @@
-"""Two helpers that keep expression trees small."""
+"""Helpers that keep expression trees small and build them once."""
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,3 +23,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def constant(value: object, ddl: str) -> Column:
     """A nested literal; folded once when the plan is optimised."""
     return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), F.lit(ddl))
+
+
+def built_once(build: Callable) -> Callable:
+    """Keep what ``build`` made for its (hashable) arguments.
+
+    Columns belong to no DataFrame, so the expressions of a source are built once per
+    JVM and used for every batch after that.
+    """
+    made: dict = {}
+
+    @functools.wraps(build)
+    def reuse(*args):
+        key = (id(SparkContext._jvm), *args)
+        if key not in made:
+            made[key] = build(*args)
+        return made[key]
+
+    return reuse

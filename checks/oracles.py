@@ -361,6 +361,10 @@ def oracle_sql() -> dict[str, str]:
         "duplicate_keys": """
             SELECT l_orderkey, l_linenumber, count(*) AS "rows" FROM lineitem
             GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""",
+        "ambiguous_ids": """
+            SELECT 'customers' AS source, CAST(o_custkey AS VARCHAR) AS external_id, count(*) AS "rows",
+                min('/o/' || o_orderkey) AS first_url, max('/o/' || o_orderkey) AS last_url
+            FROM orders GROUP BY o_custkey HAVING count(*) > 1""",
         "orphans_and_cascade": """
             SELECT 'customers without orders' AS part, count(*) AS "rows", CAST(sum(c_custkey) AS BIGINT) AS key_sum
             FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)

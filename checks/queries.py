@@ -525,6 +525,10 @@ def duplicate_keys(spark: SparkSession, folder: str) -> DataFrame:
     return constraints.duplicate_keys(table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
+def ambiguous_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return constraints.ambiguous_ids(_incoming_listings(spark, folder))
+
+
 def orphans_and_cascade(spark: SparkSession, folder: str) -> DataFrame:
     """Customers without orders, and what stays after pending orders are deleted."""
     orders = table(spark, folder, "orders").withColumnRenamed("o_orderkey", "key")
@@ -663,7 +667,7 @@ def registered() -> dict:
         listing_upsert, upsert_counts, counts_by_kind, newest_listings, newest_payload,
         attachment_merge, newest_attachments, attachment_count, digest_audit, cursor_advance,
         run_summary, run_errors, all_totals, exit_code,
-        constraint_check, duplicate_keys, orphans_and_cascade,
+        constraint_check, duplicate_keys, ambiguous_ids, orphans_and_cascade,
         fetch_outcomes, fetch_classes, retry_due, refetch, url_outcomes, host_slots, size_gate,
         harvest_run, stream_run,
     )

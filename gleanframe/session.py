@@ -17,6 +17,7 @@ SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     # Pages can be large: an Arrow batch holds few of them.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 

@@ -64,6 +64,15 @@ def test_deep_nesting_stays_linear(spark):
     assert whole == " ".join(texts)
 
 
+def test_stray_and_void_end_tags(spark):
+    texts, nodes = nodes_of(spark, "<div>a<br></br><img/>b</br></span><i>c</div>d</i>")
+    assert [n.tag for n in nodes if n.kind == "e"] == ["div", "br", "img", "i"]
+    assert texts == ["a", "b", "c", "d"]
+    assert next(n for n in nodes if n.kind == "s" and n.t0 == 3).parent == 0
+    many = "<br>" * 3000 + "<p>x" * 3000 + "</b>" * 3000
+    assert len(nodes_of(spark, many)[1]) == 1 + 3000 + 6000
+
+
 def test_text_of_hidden_and_missing(spark):
     rule = lambda p: F.array(
         p.page_text(), p.first_text(p.marks((by_tag("style"),)), (by_tag("style"),)),

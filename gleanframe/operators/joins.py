@@ -43,16 +43,18 @@ def join_unique(
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Inner or left join to a table with at most one row per key.
 
     Keys with more than ``hot_rows`` rows are counted out first (an aggregate combined
     before its shuffle). Their rows are spread over ``salts`` tasks by the hash of the row
     and only their counterparts are repeated. There can be no more than
-    rows / ``hot_rows`` such keys, which bounds the broadcast.
+    rows / ``hot_rows`` such keys, which bounds the broadcast. ``counted`` may give a cheaper
+    frame with the same keys to count.
     """
     heavy = (
-        rows.groupBy(*keys).agg(F.count("*").alias("hot")).where(F.col("hot") > hot_rows)
+        (rows if counted is None else counted).groupBy(*keys).agg(F.count("*").alias("hot")).where(F.col("hot") > hot_rows)
         .select(*keys, F.lit(salts).alias("hot"))
     )
     salt = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.col("hot")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,10 +31,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder the session names (``spark.checkpoint.dir``).
 
-    Only a session without one, as in tests on one machine, gets a folder of its own.
+    Only a session that runs in one process on one machine (``local[n]``), as in tests, gets
+    a folder of its own when none is named; a cluster must name one that all its machines see.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir names no shared folder; {master} needs one")
         named = tempfile.mkdtemp(prefix="gleanframe-")
         spark.sparkContext.setCheckpointDir(named)
     return named

@@ -7,12 +7,12 @@ ODD_SKETCH = r"""
 WITH RECURSIVE words AS (
     SELECT doc_id, list_filter(string_split_regex(
         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
-        x -> x <> '') AS w
+        lambda x: x <> '') AS w
     FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
 ), sets AS (
     SELECT doc_id, CASE WHEN len(w) = 0 THEN []
         WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-        ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
     FROM words
 ), sized AS (
     SELECT doc_id, len(s)::BIGINT AS n_shingles, s FROM sets

@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanframe.llm import oracles
+from gleanframe.llm.batches import bucket_of
+from gleanframe.llm.decontamination import contaminated
+from gleanframe.llm.language import identify, learn
 from gleanframe.llm.odd_sketch import near_duplicates
+from gleanframe.llm.pii import find_personal_data
 from gleanframe.session import prepare
 
 
@@ -15,12 +19,27 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(_table(spark, sf_dir, "documents"))
+
+
+def op4_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = bucket_of("doc_id", 2, 4)
+    prototypes = learn(docs, ~held_out)
+    return identify(docs.select("doc_id", "text", held_out.alias("held_out")), prototypes, ["doc_id", "held_out"])
+
+
+def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op10_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op10_odd_sketch_dedup]
+    found = [op2_pii_field, op4_language_profiles, op5_template_decontamination, op10_odd_sketch_dedup]
     return {f.__name__: f for f in found}
 
 

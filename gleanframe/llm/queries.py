@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from gleanframe.llm import oracles
 from gleanframe.llm.batches import bucket_of
 from gleanframe.llm.decontamination import contaminated
 from gleanframe.llm.language import identify, learn
 from gleanframe.llm.odd_sketch import near_duplicates
+from gleanframe.llm.packing import pack
 from gleanframe.llm.pii import find_personal_data
 from gleanframe.session import prepare
 
@@ -34,13 +36,17 @@ def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op10_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_pii_field, op4_language_profiles, op5_template_decontamination, op10_odd_sketch_dedup]
-    return {f.__name__: f for f in found}
+    found = [op2_pii_field, op4_language_profiles, op5_template_decontamination, op7_best_fit_packing, op10_odd_sketch_dedup]
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -35,4 +35,28 @@ SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept
 FROM sized JOIN least_ids USING (doc_id)
 """
 
-SQL = {"op10_odd_sketch_dedup": ODD_SKETCH}
+CHAT = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), steps AS (
+    SELECT *, lag(role, 1, 'start') OVER w AS before, last_value(role) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final,
+        replace(replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), ']: ', ']\: '), '##', '#\#') AS half
+    FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+), marked AS (
+    SELECT *, replace(half, '##', '#\#') AS safe,
+        CASE role WHEN 'system' THEN '### System: ' WHEN 'user' THEN '### User: ' WHEN 'assistant' THEN '### Assistant: ' ELSE '### [' || role || ']: ' END AS mark
+    FROM steps
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(length(mark) + length(safe) + length(' </turn>') + 1)::BIGINT AS formatted_chars,
+    bool_and((before, role) IN (('start', 'system'), ('start', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user')))
+        AND any_value(final) = 'assistant' AS valid
+FROM marked GROUP BY conv_id
+"""
+
+SQL = {"op1_chat_segments": CHAT, "op10_odd_sketch_dedup": ODD_SKETCH}

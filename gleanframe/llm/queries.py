@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from gleanframe.llm import oracles
+from gleanframe.llm import oracles, toxicity
 from gleanframe.llm.batches import bucket_of
+from gleanframe.llm.chat import format_chat, read_back
 from gleanframe.llm.decontamination import contaminated
 from gleanframe.llm.language import identify, learn
 from gleanframe.llm.odd_sketch import near_duplicates
@@ -21,6 +22,18 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_chat_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
+    )
+    return read_back(format_chat(turns.union(extra)))
+
+
 def op2_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(_table(spark, sf_dir, "documents"))
 
@@ -40,12 +53,19 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = bucket_of("doc_id", 1, 3)
+    model = toxicity.learn(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model, held_out)
+
+
 def op10_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_pii_field, op4_language_profiles, op5_template_decontamination, op7_best_fit_packing, op10_odd_sketch_dedup]
+    found = [op1_chat_segments, op2_pii_field, op4_language_profiles, op5_template_decontamination, op7_best_fit_packing, op8_weak_toxicity, op10_odd_sketch_dedup]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 

@@ -59,4 +59,19 @@ SELECT conv_id, count(*) AS n_turns,
 FROM marked GROUP BY conv_id
 """
 
-SQL = {"op1_chat_segments": CHAT, "op10_odd_sketch_dedup": ODD_SKETCH}
+FLAT_GRAPH = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(seen, least_id) AS (
+    SELECT vec_id, vec_id FROM v
+    UNION
+    SELECT l.b, r.least_id FROM reach r JOIN links l ON l.a = r.seen
+)
+SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.a = v.vec_id) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN (SELECT seen, min(least_id) AS component_id FROM reach GROUP BY 1) c ON c.seen = v.vec_id
+"""
+
+SQL = {"op9_flat_graph_dedup": FLAT_GRAPH, "op1_chat_segments": CHAT, "op10_odd_sketch_dedup": ODD_SKETCH}

@@ -11,6 +11,7 @@ from gleanframe.llm import oracles, toxicity
 from gleanframe.llm.batches import bucket_of
 from gleanframe.llm.chat import format_chat, read_back
 from gleanframe.llm.decontamination import contaminated
+from gleanframe.llm.flat_graph import near_vectors
 from gleanframe.llm.language import identify, learn
 from gleanframe.llm.odd_sketch import near_duplicates
 from gleanframe.llm.packing import pack
@@ -60,12 +61,16 @@ def op8_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, held_out)
 
 
+def op9_flat_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_chat_segments, op2_pii_field, op4_language_profiles, op5_template_decontamination, op7_best_fit_packing, op8_weak_toxicity, op10_odd_sketch_dedup]
+    found = [op1_chat_segments, op2_pii_field, op4_language_profiles, op5_template_decontamination, op7_best_fit_packing, op8_weak_toxicity, op9_flat_graph_dedup, op10_odd_sketch_dedup]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 

@@ -88,8 +88,27 @@ def robust_prune(x: np.ndarray, p: FlatGraph) -> np.ndarray:
     return out
 
 
-def united_graph(x: np.ndarray, p: FlatGraph) -> tuple[np.ndarray, np.ndarray]:
-    """Adjacency lists of all shards united (both directions), and the medoids."""
+@dataclass(frozen=True)
+class Graph:
+    """United adjacency lists, end to end; ``table`` holds the first of each list in padded rows (-1: none)."""
+
+    starts: np.ndarray
+    counts: np.ndarray
+    links: np.ndarray
+    table: np.ndarray
+    medoids: np.ndarray
+
+    def neighbours(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All neighbours of the given vectors, and for each which of the given it belongs to."""
+        sizes = self.counts[of]
+        owner = np.repeat(np.arange(len(of)), sizes)
+        ends = np.cumsum(sizes)
+        inside = np.arange(len(owner)) - np.repeat(ends - sizes, sizes)
+        return self.links[np.repeat(self.starts[of], sizes) + inside], owner
+
+
+def united_graph(x: np.ndarray, p: FlatGraph) -> Graph:
+    """The shards' adjacency lists united, with back links: a search reaches what no list names."""
     shards, medoids = _shards(x, p)
     heads, tails = [], []
     for s in range(len(medoids)):
@@ -98,29 +117,27 @@ def united_graph(x: np.ndarray, p: FlatGraph) -> tuple[np.ndarray, np.ndarray]:
         a, b = np.nonzero(lists >= 0)
         heads.append(members[a]), tails.append(members[lists[a, b]])
     u, v = np.concatenate(heads), np.concatenate(tails)
-    # Back links let a search reach vectors that no list names.
     pairs = np.unique(np.concatenate([u * len(x) + v, v * len(x) + u]))
     u, v = pairs // len(x), pairs % len(x)
     counts = np.bincount(u, minlength=len(x))
-    starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    # Rows of 4 * degree columns; a longer list's further links are kept at their other end.
-    width = 4 * p.degree
+    starts = np.cumsum(counts) - counts
+    table = np.full((len(x), 4 * p.degree), -1, np.int64)
     place = np.arange(len(u)) - starts[u]
-    table = np.full((len(x), width), -1, np.int64)
-    inside = place < width
+    inside = place < table.shape[1]
     table[u[inside], place[inside]] = v[inside]
-    return table, np.unique(medoids)
+    return Graph(starts, counts, v, table, np.unique(medoids))
 
 
-def _search(x: np.ndarray, table: np.ndarray, medoids: np.ndarray, queries: np.ndarray, p: FlatGraph, beam: int, slack: float) -> np.ndarray:
+def _search(x: np.ndarray, graph: Graph, queries: np.ndarray, p: FlatGraph, beam: int, slack: float) -> np.ndarray:
     """Marks, for each query, the vectors found within the range."""
-    n, q = len(x), len(queries)
+    n, q, table, medoids = len(x), len(queries), graph.table, graph.medoids
     found = np.zeros((q, n), bool)
     seen = np.zeros((q, n), bool)
     at = np.arange(q)
     y = x[queries]
     near = y @ x[medoids].T
-    entry = medoids[np.argsort(-near, axis=1, kind="stable")[:, : p.entries]]
+    # A query is a vector of the graph: its own list is an entry beside the nearest medoids.
+    entry = np.hstack([queries[:, None], medoids[np.argsort(-near, axis=1, kind="stable")[:, : p.entries]]])
     ids = np.full((q, beam), -1, np.int64)
     sims = np.full((q, beam), -3.0, np.float32)
     done = np.ones((q, beam), bool)
@@ -130,7 +147,8 @@ def _search(x: np.ndarray, table: np.ndarray, medoids: np.ndarray, queries: np.n
     done[:, :width] = False
     seen[at[:, None], ids[:, :width]] = True
     low = p.threshold - slack
-    found[at[:, None], ids[:, :width]] = sims[:, :width] >= low
+    r, c = np.nonzero(sims[:, :width] >= low)
+    found[r, ids[r, c]] = True
     while True:
         open_sims = np.where(done, -9.0, sims)
         best = open_sims.argmax(axis=1)
@@ -157,12 +175,11 @@ def _search(x: np.ndarray, table: np.ndarray, medoids: np.ndarray, queries: np.n
     while front.any():
         r, c = np.nonzero(front)
         front = np.zeros_like(found)
-        for start in range(0, len(r), 20_000):
-            rr, cc = r[start : start + 20_000], c[start : start + 20_000]
-            neighbours = table[cc]
-            owner = np.repeat(rr, neighbours.shape[1])
-            flat = neighbours.ravel()
-            fresh = (flat >= 0) & ~seen[owner, flat]
+        share = np.cumsum(graph.counts[c]) // 1_000_000
+        for start, end in zip(*(np.searchsorted(share, np.unique(share), side) for side in ("left", "right"))):
+            flat, owner = graph.neighbours(c[start:end])
+            owner = r[start:end][owner]
+            fresh = ~seen[owner, flat]
             pairs = np.unique(owner[fresh] * n + flat[fresh])
             owner, flat = pairs // n, pairs % n
             seen[owner, flat] = True
@@ -200,10 +217,10 @@ def cell_links(raw: np.ndarray, p: FlatGraph) -> tuple[np.ndarray, float]:
     audit = np.unique(np.linspace(0, n - 1, min(n, p.audited)).astype(np.int64))
     truth = _exact(x, audit, p)
     links = np.zeros((n, -(-n // 8)), np.uint8)
-    table, medoids = united_graph(single, p)
+    graph = united_graph(single, p)
     recall = 0.0
     for beam, slack in ((p.beam, p.slack), (4 * p.beam, 2 * p.slack)):
-        got = _verified(x, audit, _search(single, table, medoids, audit, p, beam, slack), p)
+        got = _verified(x, audit, _search(single, graph, audit, p, beam, slack), p)
         recall = float(got[truth].mean()) if truth.any() else 1.0
         if recall >= p.least_recall:
             break
@@ -211,7 +228,7 @@ def cell_links(raw: np.ndarray, p: FlatGraph) -> tuple[np.ndarray, float]:
     for low in range(0, n, step):
         queries = np.arange(low, min(n, low + step))
         if recall >= p.least_recall:
-            rows = _verified(x, queries, _search(single, table, medoids, queries, p, beam, slack), p)
+            rows = _verified(x, queries, _search(single, graph, queries, p, beam, slack), p)
         else:
             rows = _exact(x, queries, p)
         links[queries] |= np.packbits(rows, axis=1)

@@ -16,6 +16,7 @@ from gleanframe.llm.language import identify, learn
 from gleanframe.llm.odd_sketch import near_duplicates
 from gleanframe.llm.packing import pack
 from gleanframe.llm.pii import find_personal_data
+from gleanframe.llm.suffix_dedup import remove_repeats
 from gleanframe.session import prepare
 
 
@@ -50,6 +51,10 @@ def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
@@ -70,7 +75,7 @@ def op10_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_chat_segments, op2_pii_field, op4_language_profiles, op5_template_decontamination, op7_best_fit_packing, op8_weak_toxicity, op9_flat_graph_dedup, op10_odd_sketch_dedup]
+    found = [op1_chat_segments, op2_pii_field, op4_language_profiles, op5_template_decontamination, op6_suffix_dedup, op7_best_fit_packing, op8_weak_toxicity, op9_flat_graph_dedup, op10_odd_sketch_dedup]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 

@@ -16,6 +16,7 @@ from gleanframe.llm.language import identify, learn
 from gleanframe.llm.odd_sketch import near_duplicates
 from gleanframe.llm.packing import pack
 from gleanframe.llm.pii import find_personal_data
+from gleanframe.llm.secret_forest import scan_secrets
 from gleanframe.llm.suffix_dedup import remove_repeats
 from gleanframe.session import prepare
 
@@ -40,6 +41,10 @@ def op2_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op3_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op4_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = bucket_of("doc_id", 2, 4)
@@ -75,7 +80,7 @@ def op10_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_chat_segments, op2_pii_field, op4_language_profiles, op5_template_decontamination, op6_suffix_dedup, op7_best_fit_packing, op8_weak_toxicity, op9_flat_graph_dedup, op10_odd_sketch_dedup]
+    found = [op1_chat_segments, op2_pii_field, op3_secret_forest, op4_language_profiles, op5_template_decontamination, op6_suffix_dedup, op7_best_fit_packing, op8_weak_toxicity, op9_flat_graph_dedup, op10_odd_sketch_dedup]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 

@@ -218,12 +218,11 @@ class Model:
 def learn(docs: DataFrame, labels: DataFrame, training: Column, p: WeakSupervision = WeakSupervision()) -> Model:
     """Fits on the labelled rows of ``docs`` for which ``training`` holds."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("labelled_id")).agg(F.max("toxic").alias("label"))
-    total = known.join(docs.where(training).select("doc_id"), F.col("doc_id") == F.col("labelled_id")).count()
+    texts_of = docs.where(training).select("doc_id", "text")
+    total = known.join(texts_of.select("doc_id"), F.col("doc_id") == F.col("labelled_id")).count()
     draw = F.pmod(F.xxhash64(F.lit(p.seed), "labelled_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, p.sample_rows / max(1, total)))
     sample = durable(
-        docs.where(training)
-        .join(known.where(draw), F.col("doc_id") == F.col("labelled_id"))
-        .select("text", F.col("label").cast("int").alias("label"))
+        texts_of.join(known.where(draw), F.col("doc_id") == F.col("labelled_id")).select("text", F.col("label").cast("int").alias("label"))
     )
     patterns = [(f"{w}$", 1) for w in LEXICON.split()]
     patterns += [x for x in mined(sample, p) if x not in set(patterns)]

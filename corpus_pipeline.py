@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from gleanframe.llm.batches import bucket_of
+from gleanframe.llm.batches import bucket_of, unused
 from gleanframe.llm.decontamination import contaminated
 from gleanframe.llm.language import UNKNOWN, identify, learn
 from gleanframe.llm.odd_sketch import near_duplicates
@@ -25,8 +25,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters, and those far from every language."""
     prepare(spark)
     prototypes = learn(docs, ~bucket_of("doc_id", 2, 4))
-    named = identify(docs, prototypes, docs.columns, into=("__lang", "__cosine"))
-    return named.where((F.col("__lang") != UNKNOWN) & (F.col("__cosine") >= LEAST_COSINE)).select(*docs.columns)
+    lang, cosine = unused("lang_found", docs), unused("cosine", docs)
+    named = identify(docs, prototypes, docs.columns, into=(lang, cosine))
+    return named.where((F.col(lang) != UNKNOWN) & (F.col(cosine) >= LEAST_COSINE)).select(*docs.columns)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +36,14 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Of rows that repeat a doc_id the one with the first text stays. Rows without a doc_id stay.
     """
     prepare(spark)
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
+    one, nth = unused("kept_id", docs), unused("nth", docs)
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias(one)).distinct()
     first = Window.partitionBy("doc_id").orderBy("text")
     named = (
         docs.where("doc_id is not null")
-        .join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-        .withColumn("__nth", F.row_number().over(first))
-        .where("__nth = 1")
+        .join(kept, F.col("doc_id") == F.col(one), "left_semi")
+        .withColumn(nth, F.row_number().over(first))
+        .where(F.col(nth) == 1)
         .select(*docs.columns)
     )
     return named.union(docs.where("doc_id is null"))
@@ -50,8 +52,10 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold passages of the benchmark."""
     benchmark = prepare(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = durable(contaminated(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    leak, digest = unused("leak_id", docs), unused("leak_hash", docs)
+    found = contaminated(docs, benchmark).select(F.col("doc_id").alias(leak), F.col("text_hash").alias(digest))
+    leaks = durable(found.distinct())
+    same = F.col("doc_id").eqNullSafe(F.col(leak)) & (F.xxhash64("text") == F.col(digest))
     return docs.join(leaks, same, "left_anti")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
@@ -15,15 +15,12 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
         yield "" if text is None else text
 
 
-def rows_to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [()] * len(schema)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema
-    )
-
-
-def empty(df: DataFrame, schema: T.StructType) -> DataFrame:
-    return df.sparkSession.createDataFrame([], schema)
+def unused(name: str, df: DataFrame) -> str:
+    """The name, lengthened until ``df`` has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def bucket_of(key: Column | str, remainder: int, parts: int) -> Column:

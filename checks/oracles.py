@@ -120,13 +120,13 @@ FETCHES = """
     ),
     final AS (
         SELECT transport, url, min(attempt_no) FILTER (class <> 'transient') AS final_at,
-            count(*) AS tries
-        FROM tried WHERE attempt_no <= 3 GROUP BY transport, url
+            count(*) AS tries, count(*) FILTER (attempt_no > 3) AS over_budget
+        FROM tried GROUP BY transport, url
     ),
     outcomes AS (
         SELECT f.transport, f.url,
             coalesce(t.class, CASE WHEN tries >= 3 THEN 'exhausted' ELSE 'pending' END) AS outcome,
-            coalesce(final_at, tries) AS attempts
+            coalesce(final_at, tries) AS attempts, over_budget
         FROM final f LEFT JOIN tried t
             ON t.transport = f.transport AND t.url = f.url AND t.attempt_no = f.final_at
     )
@@ -372,7 +372,7 @@ def oracle_sql() -> dict[str, str]:
             FROM orders WHERE o_orderstatus <> 'P'
             UNION ALL SELECT 'lines kept', count(*), CAST(sum(l_orderkey) AS BIGINT)
             FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')""",
-        "fetch_outcomes": f"{FETCHES} SELECT transport, url, outcome, CAST(attempts AS BIGINT) AS attempts FROM outcomes",
+        "fetch_outcomes": f"{FETCHES} SELECT transport, url, outcome, CAST(attempts AS BIGINT) AS attempts, over_budget FROM outcomes",
         "fetch_classes": """
             SELECT o_orderkey, CASE WHEN c IN (401, 403, 429) THEN 'blocked'
                 WHEN c IN (408, 425) OR c >= 500 THEN 'transient' WHEN c >= 400 THEN 'permanent' ELSE 'ok' END AS class
@@ -385,7 +385,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT url FROM outcomes WHERE transport = 'http' AND outcome = 'blocked'
                 AND url NOT IN (SELECT url FROM outcomes WHERE transport = 'browser')""",
         "url_outcomes": f"""{FETCHES}
-            SELECT url, CASE WHEN b IS NOT NULL AND (h IS NULL OR h = 'blocked') THEN b ELSE h END AS outcome
+            SELECT url, CASE WHEN h = 'ok' OR b = 'ok' THEN 'ok' WHEN h IS NOT NULL THEN h ELSE b END AS outcome
             FROM (
                 SELECT url, max(outcome) FILTER (transport = 'http') AS h,
                     max(outcome) FILTER (transport = 'browser') AS b
@@ -422,4 +422,14 @@ def oracle_sql() -> dict[str, str]:
                 CAST(p_retailprice AS DECIMAL(18,2)) AS price, {size_text} AS status,
                 TIMESTAMP '2026-03-01 12:00:00' AS first_seen_at
             FROM part""",
+        "rerun_newest_fetch": """
+            SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 10 = 0 THEN p WHEN o_orderkey % 5 = 0 THEN NULL
+                    WHEN o_orderkey % 3 = 0 THEN p ELSE p + 1000 END AS DECIMAL(18,2)) AS price,
+                CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 10 <> 0 THEN 'detail' END AS stage, false AS cursor_moved
+            FROM (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS p FROM orders)""",
+        "stream_replay": """
+            SELECT 'P-' || p_partkey AS external_id,
+                CAST(CAST(p_retailprice AS DECIMAL(18,2)) + CASE WHEN p_partkey % 2 = 0 AND p_partkey % 7 <> 0 THEN 7 ELSE 0 END AS DECIMAL(18,2)) AS price,
+                CASE WHEN p_partkey % 7 = 0 THEN 'detail' END AS stage
+            FROM part""",
     }

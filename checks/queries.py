@@ -33,8 +33,8 @@ from gleanframe.sources.pages import stream_pages
 from gleanframe.sources.state import initialise
 from gleanframe.streaming.ingest import ingest_pages
 
-NOTICES = PurchaseSpec(name=render.NOTICES, list_url=render.NOTICE_LIST, max_pages=1_000_000)
-SHOP = ProductSpec(name=render.SHOP, list_url=render.SHOP_LIST, max_pages=1_000_000)
+NOTICES = PurchaseSpec(name=render.NOTICES, list_url=render.NOTICE_LIST)
+SHOP = ProductSpec(name=render.SHOP, list_url=render.SHOP_LIST)
 NOW = datetime(2026, 3, 1, 12, 0, 0)
 
 
@@ -235,7 +235,7 @@ def page_chains(spark: SparkSession, folder: str) -> DataFrame:
     )
     edges = discovery.durable(named)
     starts = edges.where(F.col("page_url").endswith("?page=0")).select("source", "page_url")
-    chain = discovery.page_chain(edges, starts, max_pages=100)
+    chain = discovery.page_chain(edges, starts, max_pages=100).drop("cut")
     return chain.select("source", "page_url", "page_no")
 
 
@@ -659,6 +659,78 @@ def stream_run(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _fetched(pages: DataFrame, day: int, status: int = 200) -> DataFrame:
+    return pages.withColumn("fetched_at", F.lit(f"2026-01-{day:02d} 00:00:00").cast("timestamp")).withColumn(
+        "status_code", F.lit(status)
+    )
+
+
+def _dearer(rows: DataFrame, column: str, by: int) -> DataFrame:
+    return rows.withColumn(column, F.col(column) + by)
+
+
+def rerun_newest_fetch(spark: SparkSession, folder: str) -> DataFrame:
+    """Notices of all orders in several fetches, run twice: the newest fetch decides, also a failed one.
+
+    Every page was fetched at a higher price first, every third again at the right one, every
+    fifth failed after that; before the second run every tenth was fetched once more.
+    """
+    orders = render.orders(spark, folder)
+    root = _run_folder(spark)
+
+    def details(every: int) -> DataFrame:
+        some = orders.where(F.pmod(F.col("o_orderkey"), F.lit(every)) == 0)
+        return render.as_landed(render.notice_pages(some), render.NOTICES, "detail")
+
+    first = render.as_landed(render.notice_pages(_dearer(orders, "o_totalprice", 1000)), render.NOTICES, "detail")
+    lists = render.as_landed(render.notice_lists(orders, F.col("o_orderkey")), render.NOTICES, "list")
+    for pages in (lists, _fetched(first, 2), _fetched(details(3), 3), _fetched(details(5), 4, 503)):
+        pages.write.mode("append").partitionBy("source", "role").parquet(f"{root}/pages")
+    tables = initialise(spark, f"{root}/state", buckets=8)
+    harvest(spark, spark.read.parquet(f"{root}/pages"), [NOTICES], tables, NOW)
+    _fetched(details(10), 5).write.mode("append").partitionBy("source", "role").parquet(f"{root}/pages")
+    result = harvest(spark, spark.read.parquet(f"{root}/pages"), [NOTICES], tables, NOW)
+    moved = tables["checkpoints"].read(spark).where("cursor_at is not null").count() > 0
+    stored = tables["listings"].read(spark).select("external_id", "price")
+    errors = result.errors.select("external_id", "stage")
+    return stored.join(errors, "external_id", "full").select(
+        F.col("external_id").cast("long").alias("o_orderkey"), "price", "stage", F.lit(moved).alias("cursor_moved")
+    )
+
+
+def stream_replay(spark: SparkSession, folder: str) -> DataFrame:
+    """Product pages of all parts through two streams into the same tables.
+
+    The first stream sees the right prices and then older fetches; the second, with a progress
+    folder of its own, sees newer fetches of every second part and failed ones of every seventh.
+    """
+    parts = render.parts(spark, folder)
+    root = _run_folder(spark)
+    tables = initialise(spark, f"{root}/state", buckets=8)
+
+    def landed(rows: DataFrame, by: int, day: int, status: int = 200) -> DataFrame:
+        pages = render.product_pages(_dearer(rows, "p_retailprice", by))
+        return _fetched(render.as_landed(pages, render.SHOP, "detail"), day, status)
+
+    def drain(name: str) -> None:
+        ingest_pages(
+            stream_pages(spark, f"{root}/{name}"), [SHOP], tables, f"{root}/{name}-progress", clock=lambda: NOW, availableNow=True
+        ).awaitTermination()
+
+    def every(n: int) -> DataFrame:
+        return parts.where(F.pmod(F.col("p_partkey"), F.lit(n)) == 0)
+
+    landed(parts, 0, 2).write.mode("append").parquet(f"{root}/one")
+    drain("one")
+    landed(parts, 5, 1).write.mode("append").parquet(f"{root}/one")
+    drain("one")
+    landed(every(2), 7, 3).write.mode("append").parquet(f"{root}/two")
+    landed(every(7), 9, 4, 503).write.mode("append").parquet(f"{root}/two")
+    drain("two")
+    failed = tables["errors"].read(spark).select("url", "stage")
+    return tables["listings"].read(spark).join(failed, "url", "left").select("external_id", "price", "stage")
+
+
 def registered() -> dict:
     queries = (
         money_texts, date_texts, flat_labels, clean_documents, cursor_urls,
@@ -669,7 +741,7 @@ def registered() -> dict:
         run_summary, run_errors, all_totals, exit_code,
         constraint_check, duplicate_keys, ambiguous_ids, orphans_and_cascade,
         fetch_outcomes, fetch_classes, retry_due, refetch, url_outcomes, host_slots, size_gate,
-        harvest_run, stream_run,
+        harvest_run, stream_run, rerun_newest_fetch, stream_replay,
     )
 
     def prepared(query):

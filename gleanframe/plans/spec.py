@@ -44,7 +44,7 @@ class SourceSpec:
 
     name: str
     kind: str
-    max_pages: int
+    max_pages: int | None
     page_parameters: tuple[str, ...]
     document_markers: tuple[str, ...]
     attachment_fallback: str
@@ -60,7 +60,7 @@ class PurchaseSpec(SourceSpec):
     """Procurement notices. Defaults are fixed values of the portal's pages."""
 
     kind: str = PURCHASE
-    max_pages: int = 100
+    max_pages: int | None = None
     page_parameters: tuple[str, ...] = ("PAGEN_", "page=", "pageNumber")
     document_markers: tuple[str, ...] = ("скачать", "документ", "файл", "приложение")
     attachment_fallback: str = "procurement-document"
@@ -106,7 +106,7 @@ class ProductSpec(SourceSpec):
     """Shop products. Defaults are fixed values of the shop's pages."""
 
     kind: str = PRODUCT
-    max_pages: int = 20
+    max_pages: int | None = None
     page_parameters: tuple[str, ...] = ("PAGEN_", "page=")
     document_markers: tuple[str, ...] = (
         "руководство",

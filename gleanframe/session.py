@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -44,6 +46,17 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers of a session that was started without it.
+
+    Not needed where the package is installed on the workers or on their ``PYTHONPATH``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="gleanframe-")  # on the driver, which hands the file out
+    archive = shutil.make_archive(os.path.join(folder, "gleanframe"), "zip", root, "gleanframe")
+    spark.sparkContext.addPyFile(archive)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows as a written table in the shared folder: lineage ends here.
 

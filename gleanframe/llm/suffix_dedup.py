@@ -13,8 +13,10 @@ with equal bytes at equal distance. The starts of one anchor are neighbours; the
 together are its region, on average 590 bytes. Regions whose anchor's hash is found nowhere else
 hold no repeated start. Regions that are equal as a whole are repeated as a whole. What is left,
 mostly where a repeated passage begins or ends, is sorted, one region of each kind, in groups
-with equal anchors. A group of more than ``regions_per_group`` is split, sorted in parts, and
-the strings that are new to their part meet by digest.
+with equal anchors. A group of more than ``regions_per_group`` is split and sorted in parts. What
+is new to its part meets by digest, first in blocks of ``block`` starts: strings of one block,
+counted from the anchor, have most bytes in common, so only blocks in which these are found
+again are taken apart into their strings.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ class Repeats:
     length: int = 400
     shallow: int = 4
     regions_per_group: int = 2000
+    block: int = 32
     bytes_at_once: int = 1 << 21
 
 
@@ -70,8 +73,8 @@ def _window_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def regions(data: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
-    """(hash of the anchor, first start, last start) of each run of starts with one anchor."""
+def regions(data: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """(hash of the anchor, its place, first start, last start) of each run of starts with one anchor."""
     for block in range(0, max(0, len(data) - length + 1), _BLOCK):
         part = data[block : block + _BLOCK + length - 1]
         words = words_at(part)
@@ -81,25 +84,26 @@ def regions(data: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
         anchor = (_window_least(ranked, length - _GRAM + 1) & _POSITION).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         last = np.concatenate([first[1:], [len(anchor)]]) - 1
-        for a, s, e in zip(hashed[anchor[first]].view(np.int64).tolist(), first.tolist(), last.tolist()):
-            yield a, block + s, block + e
+        places = anchor[first]
+        for a, at, s, e in zip(hashed[places].view(np.int64).tolist(), places.tolist(), first.tolist(), last.tolist()):
+            yield a, block + at, block + s, block + e
 
 
-_ANCHOR = "doc_key long, text_hash long, anchor long, region binary, low long, high long"
+_ANCHOR = "doc_key long, text_hash long, anchor long, region binary, at long, low long, high long"
 
 
 def _anchors(p: Repeats):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made: list[list] = [[], [], [], [], [], []]
+            made: list[list] = [[], [], [], [], [], [], []]
             for key, digest, value in zip(batch.column("doc_key").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("text")):
                 raw = (value.as_py() or "").encode("utf-8", "surrogatepass")
-                for a, s, e in regions(np.frombuffer(raw, np.uint8), p.length):
-                    row = (key, digest, a, xxhash.xxh3_128_digest(raw[s : e + p.length]), s, e)
+                for a, at, s, e in regions(np.frombuffer(raw, np.uint8), p.length):
+                    row = (key, digest, a, xxhash.xxh3_128_digest(raw[s : e + p.length]), at, s, e)
                     for column, cell in zip(made, row):
                         column.append(cell)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-            names = ["doc_key", "text_hash", "anchor", "region", "low", "high"]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            names = ["doc_key", "text_hash", "anchor", "region", "at", "low", "high"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, kinds)], names=names)
 
     return run
@@ -175,11 +179,11 @@ def _runs(mark: np.ndarray) -> Iterator[tuple[int, int]]:
         yield a, b - 1
 
 
-_SORTED = "doc_key long, text_hash long, low long, high long, digest binary"
+_SORTED = "doc_key long, text_hash long, low long, high long, core binary, bytes binary"
 
 
 def _sort_groups(p: Repeats):
-    """Spans of repeated bytes; for parts of a split group also the digests of strings to be compared."""
+    """Spans of repeated bytes; for parts of a split group also the blocks to be compared, with what they share."""
 
     def decide(rows: list[tuple]) -> pa.RecordBatch:
         raw = b"".join(r[5] for r in rows)
@@ -192,35 +196,40 @@ def _sort_groups(p: Repeats):
         made: list[tuple] = []
         at = 0
         told: set[int] = set()
-        for (_, split, key, digest, low, _), base, n in zip(rows, begin.tolist(), amount.tolist()):
+        for (_, split, key, digest, low, _, place), base, n in zip(rows, begin.tolist(), amount.tolist()):
             mine = same[at : at + n]
             at += n
             for a, b in _runs(mine > 0):
-                made.append((key, digest, low + a, low + b + p.length, None))
-            if split:
-                for k, number in enumerate(mine.tolist()):
-                    if number in told:
-                        continue
-                    if number:
-                        told.add(number)
-                    string = raw[base + k : base + k + p.length]
-                    made.append((key, digest, low + k, low + k + p.length, xxhash.xxh3_128_digest(string)))
-        columns = list(zip(*made)) if made else [()] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_key", "text_hash", "low", "high", "digest"]
-        )
+                made.append((key, digest, low + a, low + b + p.length, None, None))
+            blocks: dict[int, list[int]] = {}
+            for k, number in enumerate(mine.tolist() if split else ()):
+                if number not in told:
+                    blocks.setdefault((place - low - k) // p.block, []).append(k)
+                if number:
+                    told.add(number)
+            for block, ks in blocks.items():
+                # From the last start of the block to the end of the string at its first one.
+                last = base + place - low - block * p.block
+                core = raw[last : last - p.block + 1 + p.length]
+                mark = xxhash.xxh3_128_digest(core, seed=block)
+                for a, b in _runs(np.isin(np.arange(ks[0], ks[-1] + 1), ks)):
+                    first, end = ks[0] + a, ks[0] + b + p.length
+                    made.append((key, digest, low + first, low + end, mark, raw[base + first : base + end]))
+        columns = list(zip(*made)) if made else [()] * 6
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        names = ["doc_key", "text_hash", "low", "high", "core", "bytes"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size, group = 0, None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "split", "doc_key", "text_hash", "low", "bytes", "part"))):
-                if (row[0], row[6]) != group and size >= p.bytes_at_once:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "split", "doc_key", "text_hash", "low", "bytes", "at", "part"))):
+                if (row[0], row[7]) != group and size >= p.bytes_at_once:
                     yield decide(rows)
                     rows, size = [], 0
-                group = (row[0], row[6])
-                rows.append(row[:6])
+                group = (row[0], row[7])
+                rows.append(row[:7])
                 size += len(row[5])
         if rows:
             yield decide(rows)
@@ -231,22 +240,44 @@ def _sort_groups(p: Repeats):
 def _cut_regions(p: Repeats):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[], [], [], [], [], [], []]
+            columns: list[list] = [[], [], [], [], [], [], [], []]
             for key, digest, wanted, value in zip(
                 *(batch.column(c).to_pylist() for c in ("doc_key", "text_hash", "wanted")), batch.column("text")
             ):
                 raw = value.as_py().encode("utf-8", "surrogatepass")
                 for w in wanted:
-                    row = (w["anchor"], w["parts"] > 1, w["part"], key, digest, w["low"], raw[w["low"] : w["high"] + p.length])
+                    row = (w["anchor"], w["parts"] > 1, w["part"], key, digest, w["at"], w["low"], raw[w["low"] : w["high"] + p.length])
                     for column, cell in zip(columns, row):
                         column.append(cell)
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            names = ["anchor", "split", "part", "doc_key", "text_hash", "low", "bytes"]
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            names = ["anchor", "split", "part", "doc_key", "text_hash", "at", "low", "bytes"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     return run
 
 
+_STRING = "doc_key long, text_hash long, low long, digest binary"
+
+
+def _strings(p: Repeats):
+    """The digests of all strings of ``length`` bytes in a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [
+                (key, digest, low + k, xxhash.xxh3_128_digest(raw[k : k + p.length]))
+                for key, digest, low, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_key", "text_hash", "low", "bytes")))
+                for k in range(len(raw) - p.length + 1)
+            ]
+            columns = list(zip(*rows)) if rows else [()] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_key", "text_hash", "low", "digest"]
+            )
+
+    return run
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -268,7 +299,7 @@ def repeated_spans(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
         .select("anchor", "kinds")
     )
     chosen = durable(anchors.join(met, "anchor"))
-    times = chosen.groupBy("anchor", "region").agg(F.count("*").alias("times"), F.min(F.struct("doc_key", "text_hash", "low", "high")).alias("one"), F.first("kinds").alias("kinds"))
+    times = chosen.groupBy("anchor", "region").agg(F.count("*").alias("times"), F.min(F.struct("doc_key", "text_hash", "at", "low", "high")).alias("one"), F.first("kinds").alias("kinds"))
     times = durable(times)
     whole = chosen.join(times.where("times > 1").select("anchor", "region"), ["anchor", "region"]).select(
         "doc_key", "text_hash", "low", (F.col("high") + p.length).alias("high")
@@ -276,26 +307,24 @@ def repeated_spans(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
     mixed = times.where("kinds > 1").select("anchor", "one.*", F.ceil(F.col("kinds") / p.regions_per_group).alias("parts"))
     wanted = mixed.groupBy("doc_key", "text_hash").agg(
         F.collect_list(
-            F.struct("anchor", "low", "high", "parts", F.pmod(F.xxhash64("doc_key", "low"), F.col("parts")).alias("part"))
+            F.struct("anchor", "at", "low", "high", "parts", F.pmod(F.xxhash64("doc_key", "low"), F.col("parts")).alias("part"))
         ).alias("wanted")
     )
     cut = (
         texts.drop("doc_id")
         .join(wanted, ["doc_key", "text_hash"])
         .dropDuplicates(["doc_key", "text_hash"])
-        .mapInArrow(_cut_regions(p), "anchor long, split boolean, part long, doc_key long, text_hash long, low long, bytes binary")
+        .mapInArrow(_cut_regions(p), "anchor long, split boolean, part long, doc_key long, text_hash long, at long, low long, bytes binary")
     )
     found = durable(
         cut.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_sort_groups(p), _SORTED)
     )
-    compared = found.where("digest is not null")
-    again = compared.groupBy("digest").count().where("count > 1").select("digest")
-    parts = [
-        whole,
-        found.where("digest is null").drop("digest"),
-        compared.join(again, "digest").select("doc_key", "text_hash", "low", "high"),
-    ]
-    return parts[0].union(parts[1]).union(parts[2])
+    blocks = found.where("core is not null")
+    shared = blocks.groupBy("core").count().where("count > 1").select("core")
+    strings = durable(blocks.join(shared, "core").drop("core", "high").mapInArrow(_strings(p), _STRING))
+    again = strings.groupBy("digest").count().where("count > 1").select("digest")
+    split = strings.join(again, "digest").select("doc_key", "text_hash", "low", (F.col("low") + p.length).alias("high"))
+    return whole.union(found.where("core is null").drop("core", "bytes")).union(split)
 
 
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"

@@ -9,20 +9,23 @@ estimate lies five deviations below the threshold are left; the rest is confirme
 
 Equal sets meet by digest and go on as one representative. Within a bucket every member is
 first held against the bucket's smallest member only, which joins groups of copies with as many
-comparisons as they have members. After that, only members of *different* components that still
-share a bucket are compared, so no link between components is lost and no pair inside one is made.
+comparisons as they have members. Where components still meet in a bucket, each member is held
+against the closest of a few drawn members, which joins loose groups. After that, members of
+*different* components of such buckets that share one of their rarest shingles, as any two that
+reach the threshold must, are all compared. So no link between components is lost, and no pair
+inside one is made.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gleanframe.llm.components import components
 from gleanframe.session import durable
@@ -42,6 +45,9 @@ class OddSketch:
     deviations: float = 5.0
     seed: int = 7
     members_per_task: int = 2000
+    star_turns: int = 1
+    fine_samples: int = 1024
+    fine_bits: int = 2048
 
     @property
     def samples(self) -> int:
@@ -85,16 +91,42 @@ def shingle_set(text: str | None, width: int, words: _Words) -> np.ndarray:
     return np.unique(_mix(total ^ np.uint64(width)) if short else total)
 
 
+class Sampler:
+    """MinHash samples of shingle sets, and the odd sketches of such samples."""
+
+    def __init__(self, p: OddSketch):
+        rng = np.random.default_rng(p.seed)
+        self.p = p
+        self.odd = rng.integers(0, 2**63, p.samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.plus = rng.integers(0, 2**63, p.samples, dtype=np.uint64)
+        self.nth = _mix(np.arange(1, p.samples + 1, dtype=np.uint64) * _MIX)
+
+    def samples(self, s: np.ndarray) -> np.ndarray:
+        low = np.full(self.p.samples, np.iinfo(np.uint64).max, np.uint64)
+        for at in range(0, len(s), 2048):
+            part = s[at : at + 2048][None, :] * self.odd[:, None] + self.plus[:, None]
+            part ^= part >> np.uint64(32)
+            low = np.minimum(low, part.min(axis=1))
+        return _mix(low * _MIX + self.nth)
+
+    def sketch(self, samples: np.ndarray) -> np.ndarray:
+        flips = np.bincount((samples % np.uint64(self.p.bits)).astype(np.int64), minlength=self.p.bits) & 1
+        return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+    def bands(self, samples: np.ndarray) -> np.ndarray:
+        rows = samples.reshape(self.p.bands, self.p.band_rows)
+        key = np.zeros(self.p.bands, np.uint64)
+        for k in range(self.p.band_rows):
+            key = _mix(key * _MIX + rows[:, k])
+        return key.view(np.int64)
+
+
 _SIGNATURE = "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
 
 
 def _signatures(p: OddSketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(p.seed)
-        odd = rng.integers(0, 2**63, p.samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        plus = rng.integers(0, 2**63, p.samples, dtype=np.uint64)
-        nth = _mix(np.arange(1, p.samples + 1, dtype=np.uint64) * _MIX)
-        words, sent = _Words(), []
+        sampler, words = Sampler(p), _Words()
         for batch in batches:
             n, digests, bands, sketches = [], [], [], []
             for value in batch.column("text"):
@@ -103,20 +135,9 @@ def _signatures(p: OddSketch):
                 if not len(s):
                     digests.append(None), bands.append([]), sketches.append([])
                     continue
-                low = np.full(p.samples, np.iinfo(np.uint64).max, np.uint64)
-                for at in range(0, len(s), 2048):
-                    part = s[at : at + 2048]
-                    part = part[None, :] * odd[:, None] + plus[:, None]
-                    part ^= part >> np.uint64(32)
-                    low = np.minimum(low, part.min(axis=1))
-                sample = _mix(low * _MIX + nth)
-                flips = np.bincount((sample % np.uint64(p.bits)).astype(np.int64), minlength=p.bits) & 1
-                sketches.append(np.packbits(flips.astype(np.uint8)).view(np.int64))
-                rows = sample.reshape(p.bands, p.band_rows)
-                key = np.zeros(p.bands, np.uint64)
-                for k in range(p.band_rows):
-                    key = _mix(key * _MIX + rows[:, k])
-                bands.append(key.view(np.int64))
+                samples = sampler.samples(s)
+                sketches.append(sampler.sketch(samples))
+                bands.append(sampler.bands(samples))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -141,14 +162,15 @@ def signatures(docs: DataFrame, p: OddSketch) -> DataFrame:
     return rows.mapInArrow(_signatures(p), _SIGNATURE)
 
 
+def _differing(a: str, b: str, p: OddSketch) -> Column:
+    words = (F.bit_count(F.col(f"{a}.sketch")[k].bitwiseXOR(F.col(f"{b}.sketch")[k])) for k in range(p.bits // 64))
+    return sum(words, F.lit(0))
+
+
 def _close(a: str, b: str, p: OddSketch) -> Column:
     """Sizes allow the threshold, and the sketches differ in few enough bits."""
-    differing = sum(
-        (F.bit_count(F.col(f"{a}.sketch")[k].bitwiseXOR(F.col(f"{b}.sketch")[k])) for k in range(p.bits // 64)),
-        F.lit(0),
-    )
     small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    return (small * 100 >= large * p.percent) & (differing <= p.most_differing_bits)
+    return (small * 100 >= large * p.percent) & (_differing(a, b, p) <= p.most_differing_bits)
 
 
 def _confirm(p: OddSketch):
@@ -202,12 +224,115 @@ def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, p: OddSketch)
     )
 
 
+def _open_rows(met: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of bands in which components, as far as they are known, still meet."""
+    known = durable(components(links))
+    placed = met.join(known, met.rep == known.node, "left").select(
+        "band", "rep", F.coalesce("component", "rep").alias("component")
+    )
+    mixed = (
+        placed.groupBy("band")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low != high")
+        .select("band")
+    )
+    return durable(placed.join(mixed, "band"))
+
+
+def _sieved(pairs: DataFrame, facts: DataFrame, p: OddSketch) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link, with their differing ``bits``."""
+    x = facts.select(F.col("rep").alias("a"), F.struct("n", "sketch").alias("x"))
+    y = facts.select(F.col("rep").alias("b"), F.struct("n", "sketch").alias("y"))
+    return pairs.join(x, "a").join(y, "b").where(_close("x", "y", p)).select("a", "b", _differing("x", "y", p).alias("bits"))
+
+
+def _best_stars(open_rows: DataFrame, facts: DataFrame, turn: int, p: OddSketch) -> DataFrame:
+    """For each set the closest of its bands' leads outside its component; leads are drawn anew each turn."""
+    drawn = F.xxhash64(F.lit(turn), "band", "rep")
+    leads = open_rows.groupBy("band").agg(F.min_by(F.struct("rep", "component"), drawn).alias("lead"))
+    pairs = (
+        open_rows.join(leads, "band")
+        .where("component != lead.component")
+        .select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))
+        .distinct()
+    )
+    best = _sieved(pairs, facts, p).groupBy("b").agg(F.min(F.struct("bits", "a")).alias("best"))
+    return best.select(F.least("best.a", "b").alias("a"), F.greatest("best.a", "b").alias("b")).distinct()
+
+
+def _shingles(p: OddSketch):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for batch in batches:
+            for rep, text in zip(batch.column("rep").to_pylist(), batch.column("text")):
+                s = shingle_set(text.as_py(), p.shingle_words, words).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(s), rep), pa.int64()), pa.array(s, pa.int64())], names=["rep", "shingle"]
+                )
+
+    return run
+
+
+def _sketches(p: OddSketch):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler, words = Sampler(p), _Words()
+        for batch in batches:
+            found = [
+                sampler.sketch(sampler.samples(shingle_set(x.as_py(), p.shingle_words, words))) for x in batch.column("text")
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rep"), pa.array(found, pa.list_(pa.int64()))], names=["rep", "sketch"]
+            )
+
+    return run
+
+
+def _across(open_rows: DataFrame, docs: DataFrame, reps: DataFrame, p: OddSketch) -> DataFrame:
+    """All pairs of open sets of different components that can reach the threshold.
+
+    With the shingles of each set ordered from rare to frequent, two sets that reach it share
+    one among their first ``n - ceil(threshold * n) + 1``. Members of a loose family of copies
+    differ in their rare shingles, so most do not meet here; those that do are sieved by finer
+    sketches, made for these sets alone.
+    """
+    sets = durable(open_rows.select("rep", "component").distinct().join(reps.select("rep", "n"), "rep"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("text_hash"), "text")
+    wanted = sets.select("rep").join(reps.select("rep", "text_hash"), "rep")
+    opened = durable(wanted.join(rows, ["rep", "text_hash"]).dropDuplicates(["rep", "text_hash"]).select("rep", "text"))
+    shingles = durable(opened.mapInArrow(_shingles(p), "rep long, shingle long").distinct())
+    finer = replace(p, bands=1, band_rows=p.fine_samples, bits=p.fine_bits)
+    fine = opened.mapInArrow(_sketches(finer), "rep long, sketch array<long>")
+    sets = durable(sets.join(fine, "rep"))
+    frequency = shingles.groupBy("shingle").agg(F.count("*").alias("sets"))
+    rare_first = Window.partitionBy("rep").orderBy("sets", "shingle")
+    first = F.col("n") - F.ceil(F.col("n") * p.percent / 100) + 1
+    heads = durable(
+        shingles.join(frequency, "shingle")
+        .withColumn("nth", F.row_number().over(rare_first))
+        .join(sets, "rep")
+        .where((F.col("nth") <= first) & (F.col("sets") > 1))
+        .select("shingle", "rep", "nth", "n", "sketch", "component")
+    )
+    # What two sets share from their first common shingle on, at most; for later common ones
+    # this asks more than is needed, but the first finds the pair.
+    rest = 1 + F.least(F.col("x.n") - F.col("x.nth"), F.col("y.n") - F.col("y.nth"))
+    enough = rest * (100 + p.percent) >= p.percent * (F.col("x.n") + F.col("y.n"))
+    return (
+        heads.alias("x")
+        .join(heads.alias("y"), F.col("x.shingle") == F.col("y.shingle"))
+        .where((F.col("x.component") < F.col("y.component")) & enough & _close("x", "y", finer))
+        .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(docs: DataFrame, p: OddSketch = OddSketch()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
 
     Repeated rows of a doc_id get the same result; where their texts differ, each row is
-    judged by its own text under the one name. Null and blank texts have an empty set and link with nothing. A row whose doc_id is null cannot
-    be named by a link: its component_id is null and it is kept. Other columns are ignored.
+    judged by its own text under the one name. Null and blank texts have an empty set and link
+    with nothing. A row whose doc_id is null cannot be named by a link: its component_id is
+    null and it is kept. Other columns are ignored.
     """
     signed = durable(signatures(docs, p))
     full = signed.where("n_shingles > 0 and doc_id is not null")
@@ -220,42 +345,27 @@ def near_duplicates(docs: DataFrame, p: OddSketch = OddSketch()) -> DataFrame:
     reps = durable(
         sets.select(F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("text_hash"), "digest", "n", "bands", "sketch")
     )
-    in_bands = reps.select("rep", "n", "sketch", F.explode("bands").alias("band"))
-    leads = (
-        in_bands.groupBy("band")
-        .agg(F.min(F.struct("rep", "n", "sketch")).alias("lead"), F.count("*").alias("size"))
-        .where("size > 1")
-        .select("band", F.col("lead.rep").alias("rep"), F.col("lead.n").alias("n"), F.col("lead.sketch").alias("sketch"))
-    )
-    stars = (
-        leads.alias("x")
-        .join(in_bands.alias("y"), F.col("x.band") == F.col("y.band"))
-        .where((F.col("x.rep") < F.col("y.rep")) & _close("x", "y", p))
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        .distinct()
-    )
+    facts = reps.select("rep", "n", "sketch")
+    in_bands = reps.select("rep", F.explode("bands").alias("band"))
+    shared = in_bands.groupBy("band").agg(F.count("*").alias("size"), F.min("rep").alias("lead")).where("size > 1").drop("size")
+    met = durable(in_bands.join(shared, "band"))
+    first_stars = met.where("lead < rep").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = _sieved(first_stars, facts, p).select("a", "b").distinct()
     links = durable(confirmed(durable(stars), docs, reps, p))
-    linked = durable(components(links))
-
-    placed = in_bands.join(linked, in_bands.rep == linked.node, "left").select(
-        "rep", "n", "sketch", "band", F.coalesce("component", "rep").alias("component")
-    )
-    mixed = (
-        placed.groupBy("band")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low != high")
-        .select("band")
-    )
-    open_rows = durable(placed.join(mixed, "band"))
-    across = (
-        open_rows.alias("x")
-        .join(open_rows.alias("y"), F.col("x.band") == F.col("y.band"))
-        .where((F.col("x.component") < F.col("y.component")) & _close("x", "y", p))
-        .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-        .distinct()
-    )
-    more = durable(confirmed(durable(across), docs, reps, p))
-    final = durable(components(links.union(more)))
+    for turn in range(p.star_turns):
+        open_rows = _open_rows(met, links)
+        if open_rows.isEmpty():
+            break
+        closest = durable(_best_stars(open_rows, facts, turn, p))
+        if closest.isEmpty():
+            break
+        links = links.union(durable(confirmed(closest, docs, reps, p)))
+    open_rows = _open_rows(met, links)
+    if not open_rows.isEmpty():
+        across = durable(_across(open_rows, docs, reps, p))
+        if not across.isEmpty():
+            links = links.union(durable(confirmed(across, docs, reps, p)))
+    final = durable(components(links))
 
     named = reps.join(final, reps.rep == final.node, "left").select(
         "digest", F.coalesce("component", "rep").alias("component_id")

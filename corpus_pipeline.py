@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from gleanframe.llm.batches import bucket_of, unused
 from gleanframe.llm.decontamination import contaminated
 from gleanframe.llm.language import UNKNOWN, identify, learn
-from gleanframe.llm.odd_sketch import near_duplicates
+from gleanframe.llm.odd_sketch import OddSketch, near_duplicates
 from gleanframe.llm.packing import pack
 from gleanframe.llm.pii import mask_personal_data
 from gleanframe.session import durable, prepare
@@ -20,6 +20,10 @@ from gleanframe.session import durable, prepare
 # A text below it shares next to nothing with any language that was learned.
 LEAST_COSINE = 0.02
 
+# Near copies of a corpus share four fifths of their shingles; op10 alone asks for 85 %. With 48 bands
+# of 5, a pair at similarity 0.80 is missed with chance 5e-9.
+NEAR = OddSketch(percent=80, bands=48, band_rows=5)
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters, and those far from every language."""
@@ -37,7 +41,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     prepare(spark)
     one, nth = unused("kept_id", docs), unused("nth", docs)
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias(one)).distinct()
+    kept = near_duplicates(docs, NEAR).where("kept and doc_id is not null").select(F.col("doc_id").alias(one)).distinct()
     first = Window.partitionBy("doc_id").orderBy("text")
     named = (
         docs.where("doc_id is not null")

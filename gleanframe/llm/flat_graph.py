@@ -1,8 +1,10 @@
 """Near-duplicate vectors over robust-pruned flat graphs.
 
 Equal vectors of a label meet first and go on as one. The rest of a label is a cell; a label
-too large for one cell is cut into overlapping cells around drawn pivots, and a cell that is
-still too large is worked off as pairs of pieces. Cells bound what a task holds.
+too large for one cell is cut into cells around drawn pivots, each vector in the cell of its
+nearest one, and a cell that is still too large is cut into pieces. Cells bound what a task holds.
+No link is lost by the cut: two cells are compared through all vectors that lie near enough to
+the border between them for a link across it, and such pairs are compared exhaustively.
 
 Within a cell, vectors are dealt to overlapping cluster shards. Each shard's graph joins every
 vector to near ones, pruned robustly: a candidate is dropped when a neighbour already taken is
@@ -27,7 +29,7 @@ from gleanframe.session import durable
 
 @dataclass(frozen=True)
 class FlatGraph:
-    """Parameters. Pivots of large labels are fitted on at most ``most_pivots`` vectors a label."""
+    """Parameters. A large label has at most ``most_pivots`` cells, ``cell_overlap`` for each ``cell_rows`` vectors."""
 
     threshold: float = 0.93
     cell_rows: int = 12_000
@@ -207,11 +209,33 @@ def _exact(x: np.ndarray, queries: np.ndarray, p: FlatGraph) -> np.ndarray:
     return _verified(x, queries, x[queries] @ x.T >= p.threshold - 1e-9, p)
 
 
+def _unit(raw: np.ndarray) -> np.ndarray:
+    x = raw / np.abs(raw).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def cross_links(raw: np.ndarray, side: np.ndarray, p: FlatGraph) -> np.ndarray:
+    """Packed bit rows of all links (both directions) between vectors of different sides (true, false)."""
+    x = _unit(raw)
+    n = len(x)
+    links = np.zeros((n, -(-n // 8)), np.uint8)
+    for mine, others in ((np.flatnonzero(side), np.flatnonzero(~side)), (np.flatnonzero(~side), np.flatnonzero(side))):
+        step = max(1, 16_000_000 // n)
+        for low in range(0, len(mine), step):
+            queries = mine[low : low + step]
+            near = x[queries] @ x[others].T
+            hit = near >= p.threshold + 1e-9
+            r, c = np.nonzero(np.abs(near - p.threshold) <= 1e-9)
+            hit[r, c] = np.einsum("kd,kd->k", x[queries[r]], x[others[c]]) >= p.threshold
+            rows = np.zeros((len(queries), n), bool)
+            rows[:, others] = hit
+            links[queries] = np.packbits(rows, axis=1)
+    return links
+
+
 def cell_links(raw: np.ndarray, p: FlatGraph) -> tuple[np.ndarray, float]:
     """Packed bit rows of verified links (both directions) among the vectors of one cell, and the audited recall."""
-    top = np.abs(raw).max(axis=1, keepdims=True)
-    x = raw / top
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = _unit(raw)
     n = len(x)
     single = x.astype(np.float32)
     audit = np.unique(np.linspace(0, n - 1, min(n, p.audited)).astype(np.int64))
@@ -260,22 +284,19 @@ def _cell(p: FlatGraph):
         table = table.take(pa.array(order))
         rep = np.array(table.column("rep").to_pylist(), np.int64)
         many = np.array(table.column("copies").to_pylist(), np.int64)
-        cells = np.array(table.column("cells").to_pylist(), np.int64).reshape(len(rep), -1)
-        piece = np.array(table.column("piece").to_pylist(), np.int64)
-        cell, low, high = (table.column(c)[0].as_py() for c in ("cell", "low", "high"))
-        links, _ = cell_links(np.array(table.column("embedding").to_pylist(), np.float64), p)
+        unit = np.array(table.column("unit").to_pylist(), np.int64)
+        low, high = (table.column(c)[0].as_py() for c in ("low", "high"))
+        raw = np.array(table.column("embedding").to_pylist(), np.float64)
+        if low == high:
+            links, _ = cell_links(raw, p)
+        else:
+            links = cross_links(raw, unit == low, p)
         counts = np.zeros(len(rep), np.int64)
         for i in range(len(rep)):
-            linked = np.flatnonzero(np.unpackbits(links[i], count=len(rep)))
-            if low != high:
-                linked = linked[piece[linked] != piece[i]]
-            if cells.shape[1] > 1 and len(linked):
-                # A pair that shares several cells counts in the first of them.
-                shared = (cells[linked][:, :, None] == cells[i][None, None, :]).any(axis=2)
-                first = np.where(shared, cells[linked], np.iinfo(np.int64).max).min(axis=1)
-                linked = linked[first == cell]
-            counts[i] = many[linked].sum()
-        return pa.table({"rep": rep, "links": counts, "root": rep[_roots(links, len(rep))]})
+            counts[i] = many[np.flatnonzero(np.unpackbits(links[i], count=len(rep)))].sum()
+        # The own cell names every vector; of a pair of cells only what is linked is told.
+        told = (counts > 0) | (low == high)
+        return pa.table({"rep": rep[told], "links": counts[told], "root": rep[_roots(links, len(rep))][told]})
 
     return run
 
@@ -286,30 +307,42 @@ def _usable(v: Column) -> Column:
 
 
 def _nearest_pivots(p: FlatGraph, pivots: dict[tuple, np.ndarray]):
-    """Adds to each vector of a large label the cells of its nearest pivots."""
+    """Adds to each vector of a large label the cell of its nearest pivot, and the cells it can have links in.
+
+    The vectors of two cells are parted by the plane half-way between the pivots. A vector whose
+    angle to that plane is larger than that of the threshold has no link across it.
+    """
+    across = np.sqrt(1 - p.threshold**2) if p.threshold > 0 else np.inf
+    apart = {k: np.sqrt(np.maximum(0, 2 - 2 * x @ x.T)) for k, x in pivots.items()}
 
     def run(batches):
         for batch in batches:
             keys = list(zip(batch.column("label").to_pylist(), batch.column("size").to_pylist()))
-            cells = []
+            homes, reach = [], []
             for key, vector in zip(keys, batch.column("embedding")):
-                x = np.array(vector.as_py())
-                near = pivots[key] @ (x / np.abs(x).max())
-                cells.append(np.sort(np.argsort(-near, kind="stable")[: p.cell_overlap]).tolist())
+                near = pivots[key] @ _unit(np.array([vector.as_py()]))[0]
+                home = int(near.argmax())
+                homes.append(home)
+                reach.append(np.flatnonzero(near[home] - near <= across * apart[key][home] + 1e-6).tolist())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("label", "size", "rep", "copies", "embedding")), pa.array(cells, pa.list_(pa.int64()))],
-                names=["label", "size", "rep", "copies", "embedding", "cells"],
+                [
+                    *(batch.column(c) for c in ("label", "size", "rep", "copies", "embedding")),
+                    pa.array(homes, pa.int64()),
+                    pa.array(reach, pa.list_(pa.int64())),
+                ],
+                names=["label", "size", "rep", "copies", "embedding", "home", "reach"],
             )
 
     return run
 
 
 def _in_cells(reps: DataFrame, p: FlatGraph) -> DataFrame:
-    """Each vector with the cells it belongs to."""
+    """Each vector with its cell (home) and the cells it is compared with (reach)."""
     totals = reps.groupBy("label", "size").count().where(F.col("count") > p.cell_rows)
     large = totals.collect()  # labels with more than cell_rows vectors: their number is bounded by rows / cell_rows
+    only = F.lit(0).cast("long")
     if not large:
-        return reps.withColumn("cells", F.array(F.lit(0).cast("long")))
+        return reps.withColumn("home", only).withColumn("reach", F.array(only))
     pivots = {}
     for row in large:
         k = min(p.most_pivots, -(-p.cell_overlap * row["count"] // p.cell_rows) + 1)
@@ -319,12 +352,11 @@ def _in_cells(reps: DataFrame, p: FlatGraph) -> DataFrame:
             .limit(k)
             .collect()
         )
-        x = np.array([d["embedding"] for d in drawn])
-        pivots[(row["label"], row["size"])] = x / np.linalg.norm(x, axis=1, keepdims=True)
+        pivots[(row["label"], row["size"])] = _unit(np.array([d["embedding"] for d in drawn]))
     marked = reps.join(F.broadcast(totals.select("label", "size", F.lit(True).alias("large"))), ["label", "size"], "left")
-    rest = marked.where("large is null").drop("large").withColumn("cells", F.array(F.lit(0).cast("long")))
+    rest = marked.where("large is null").drop("large").withColumn("home", only).withColumn("reach", F.array(only))
     dealt = marked.where("large").drop("large").select("label", "size", "rep", "copies", "embedding").mapInArrow(
-        _nearest_pivots(p, pivots), "label int, size int, rep long, copies long, embedding array<double>, cells array<long>"
+        _nearest_pivots(p, pivots), "label int, size int, rep long, copies long, embedding array<double>, home long, reach array<long>"
     )
     return rest.select(dealt.columns).union(dealt)
 
@@ -348,19 +380,20 @@ def near_vectors(vectors: DataFrame, p: FlatGraph = FlatGraph()) -> DataFrame:
         .agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
         .select("label", F.size("embedding").alias("size"), "rep", "copies", "embedding", key.alias("key"))
     )
-    placed = durable(_in_cells(reps.drop("key"), p)).withColumn("cell", F.explode("cells"))
-    sizes = placed.groupBy("label", "size", "cell").agg(F.ceil(F.count("*") / (2 * p.cell_rows)).alias("pieces"))
+    placed = durable(_in_cells(reps.drop("key"), p))
+    sizes = placed.groupBy("label", "size", "home").agg(F.ceil(F.count("*") / p.cell_rows).alias("pieces"))
+    there = sizes.select("label", "size", F.col("home").alias("to"), F.col("pieces").alias("to_pieces"))
+    unit = lambda cell, piece: F.shiftleft(F.col(cell), 32) + piece
     grouped = (
-        placed.join(sizes, ["label", "size", "cell"])
-        .withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-        .withColumn("low", F.least("piece", "other"))
-        .withColumn("high", F.greatest("piece", "other"))
-        .select("label", "size", "cell", "low", "high", "piece", "rep", "copies", "cells", "embedding")
-    )
-    parts = durable(
-        grouped.groupBy("label", "size", "cell", "low", "high").applyInArrow(_cell(p), "rep long, links long, root long")
+        placed.join(sizes, ["label", "size", "home"])
+        .withColumn("unit", unit("home", F.pmod(F.xxhash64("rep"), F.col("pieces"))))
+        .withColumn("to", F.explode("reach"))
+        .join(there, ["label", "size", "to"])
+        .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("to_pieces") - 1)))
+        .withColumn("other", unit("to", F.col("piece")))
+        .select("label", "size", F.least("unit", "other").alias("low"), F.greatest("unit", "other").alias("high"), "unit", "rep", "copies", "embedding")
     )
+    parts = durable(grouped.groupBy("label", "size", "low", "high").applyInArrow(_cell(p), "rep long, links long, root long"))
     counts = parts.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(parts.select("rep", "root"))
     named = (

@@ -79,3 +79,14 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     got = sorted(map(str, (tuple(r) for r in near_vectors(spark.createDataFrame(rows, VECTORS)).collect())))
     assert got == sorted(map(str, [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (None, 0, None, True)]))
     assert near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
+
+
+def test_many_cells_lose_no_link_of_a_dense_group(spark):
+    rng = np.random.default_rng(5)
+    group = rng.normal(size=24)
+    dense = group + rng.normal(size=(200, 24)) * 0.3
+    raw = np.concatenate([dense, clusters(6, 300), rng.normal(size=(100, 24))]).astype(np.float32)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(raw)]
+    p = FlatGraph(cell_rows=50, least_recall=1.1)
+    assert -(-p.cell_overlap * len(rows) // p.cell_rows) > 10 * p.cell_overlap
+    check(spark, rows, p)

@@ -62,3 +62,29 @@ def test_broadcast_blocks_change_nothing(spark):
     rows = [(i, f"see alpha{i} beta gamma delta{i} epsilon zeta eta theta{i} iota") for i in range(5)]
     small = Templates(rows_per_broadcast=2)
     assert pairs(contaminated(docs(spark, rows), b, small)) == pairs(contaminated(docs(spark, rows), b)) == [(i, i) for i in range(5)]
+
+
+def test_verbatim_items_of_numbers_and_names_match(spark):
+    sums = "12 + 7 = 19; 15 + 8 = 23; 4 x 6 = 24"
+    names = "Anna, Berta, Clara, Dora, Emma, Frieda, Greta, Hanna, Ida"
+    rows = [(1, f"see: {sums} and so on"), (2, "12 + 7 = 19; 15 + 9 = 24; 4 x 6 = 24"), (3, f"they are {names} here"), (4, names.replace("Dora", "Dina").replace("Greta", "Gerda"))]
+    assert pairs(contaminated(docs(spark, rows), bench(spark, sums, names))) == [(1, 0), (3, 1)]
+
+
+def test_layouts_of_function_words_do_not_match(spark):
+    whole = "in der Stadt und der Kirche von Bonn"
+    b = bench(spark, whole, f"Wir fragen heute, wer {whole} damals wohnte, und wie viele Menschen dort nach dem Krieg noch lebten.")
+    rows = [(1, "Er war in der Schule und der Lehre von Kant bekannt"), (2, "Sie blieb in der Firma und der Leitung von Siemens"), (3, f"Das Haus steht {whole} noch heute")]
+    assert pairs(contaminated(docs(spark, rows), b)) == [(3, 0), (3, 1)]
+
+
+def test_numbers_with_separators_and_glued_units_are_parameters(spark):
+    b = bench(spark, "How many hours are there in 3 full days", "a bag holds 5kg of rice and costs 3.5 euros at most", "it takes 800 steps from 3 gates to 12 towers")
+    rows = [(1, "How many hours are there in 1,000 full days"), (2, "a bag holds 7kg of rice and costs 1,200.75 euros at most"), (3, "it takes 1,200 steps from 3.5 gates to 4 towers"), (4, "a bag holds 7 kg of rice and costs 12 euros at most")]
+    assert pairs(contaminated(docs(spark, rows), b)) == [(1, 0), (2, 1), (3, 2), (4, 1)]
+
+
+def test_names_at_the_start_of_sentences_are_parameters(spark):
+    b = bench(spark, "Tom has 5 apples. Sam has 3 apples.")
+    rows = [(1, "Ann has 7 apples. Bob has 2 apples."), (2, "We know that Ann has 7 apples. Bob has 2 apples."), (3, "Ann has 7 apples. Bob has 2 pears.")]
+    assert pairs(contaminated(docs(spark, rows), b)) == [(1, 0), (2, 0)]

@@ -7,31 +7,47 @@ of ``documents``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gleanframe.llm.batches import bucket_of, unused
 from gleanframe.llm.decontamination import contaminated
-from gleanframe.llm.language import UNKNOWN, identify, learn
+from gleanframe.llm.language import UNKNOWN, Profiles, identify, learn
 from gleanframe.llm.odd_sketch import OddSketch, near_duplicates
 from gleanframe.llm.packing import pack
 from gleanframe.llm.pii import mask_personal_data
 from gleanframe.session import durable, prepare
 
-# A text below it shares next to nothing with any language that was learned.
-LEAST_COSINE = 0.02
+# More dimensions than op4 has: random vectors are then less alike than a short text and its language.
+LANGUAGES = Profiles(dimensions=4096)
+# Cosines of random vectors deviate by 1 / sqrt(dimensions).
+DEVIATION = 1 / math.sqrt(LANGUAGES.dimensions)
+# A text of a word or two shares too few n-grams with its own language to be held to more than two deviations.
+JUDGED_CHARS = 32
 
 # Near copies of a corpus share four fifths of their shingles; op10 alone asks for 85 %. With 48 bands
 # of 5, a pair at similarity 0.80 is missed with chance 5e-9.
 NEAR = OddSketch(percent=80, bands=48, band_rows=5)
 
 
+def least_cosine(low: float | None) -> float:
+    """Half-way between four deviations and the ``low`` cosines of the training texts, within four and eight."""
+    return max(4 * DEVIATION, min(8 * DEVIATION, (4 * DEVIATION + (low or 0.0)) / 2))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters, and those far from every language."""
+    """Drops texts without letters, and those no nearer to any language than unrelated letters are."""
     prepare(spark)
-    prototypes = learn(docs, ~bucket_of("doc_id", 2, 4))
+    training = ~bucket_of("doc_id", 2, 4)
+    prototypes = learn(docs, training, LANGUAGES)
     lang, cosine = unused("lang_found", docs), unused("cosine", docs)
-    named = identify(docs, prototypes, docs.columns, into=(lang, cosine))
-    return named.where((F.col(lang) != UNKNOWN) & (F.col(cosine) >= LEAST_COSINE)).select(*docs.columns)
+    named = durable(identify(docs, prototypes, docs.columns, LANGUAGES, into=(lang, cosine)))
+    known = F.col(lang) != UNKNOWN
+    judged = F.length("text") >= JUDGED_CHARS
+    low = named.where(known & judged & training & F.col("lang").isNotNull()).agg(F.percentile_approx(cosine, 0.001)).first()[0]
+    floor = F.when(judged, least_cosine(low)).otherwise(2 * DEVIATION)
+    return named.where(known & (F.col(cosine) >= floor)).select(*docs.columns)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,14 +13,14 @@ def sets_of(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = {i: sets_of(t) for i, t in rows}
     ids = sorted(sets)
     links = {i: [] for i in ids}
     for a in ids:
         for b in ids:
             both = len(sets[a] & sets[b])
-            if a < b and both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if a < b and both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 links[a].append(b), links[b].append(a)
     least = {}
     for i in ids:

@@ -35,7 +35,7 @@ def test_pipeline_stage_by_stage(spark):
     kept = durable(corpus_pipeline.language(spark, rows, FOLDER))
     assert kept.columns == rows.columns and kept.count() >= 0.98 * rows.count()
     single = durable(corpus_pipeline.near_duplicate(spark, kept, FOLDER))
-    want = brute([(r.doc_id, r.text) for r in kept.collect()])
+    want = brute([(r.doc_id, r.text) for r in kept.collect()], percent=80)
     assert {r.doc_id for r in single.collect()} == {i for i, (_, _, stays) in want.items() if stays}
     clean = durable(corpus_pipeline.decontamination(spark, single, FOLDER))
     leaks = {r.doc_id for r in contaminated(single, spark.read.parquet(f"{FOLDER}/benchmark.parquet")).collect()}

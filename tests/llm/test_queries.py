@@ -26,7 +26,7 @@ def test_matches_sql(spark, name):
 
 def test_one_query_for_each_operator():
     names = set(queries.registered())
-    assert {n.split("_")[0] for n in names} == {*(f"op{k}" for k in range(1, 11)), "pipeline"}
+    assert {n.split("_")[0] for n in names} == {*(f"op{k}" for k in range(1, 14)), "pipeline"}
     assert names <= set(registry.queries())
 
 

@@ -23,6 +23,7 @@ Input columns other than ``doc_id`` and ``text`` are not read, whatever their na
 from __future__ import annotations
 
 import math
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -53,12 +54,13 @@ class Codes:
     vocabulary: str | None = None
     end_id: int = 2
     chunk_bits: int = 8
-    shard_chars: int = 64 << 20
+    shard_chars: int = 32 << 20
 
 
 def _tokenizer(path: str):
     found = _TOKENIZERS.get(path)
     if found is None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has its core; no threads besides
         from tokenizers import Tokenizer
 
         found = Tokenizer.from_file(path)
@@ -209,21 +211,26 @@ def write_codes(docs: DataFrame, path: str, codes: Codes = Codes()) -> None:
     shards = max(1, math.ceil(chars / codes.shard_chars))
 
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One shard, batch by batch in the order Spark sorted it: only ids are kept, as arrays."""
         from pyspark import TaskContext
 
-        part = pd.concat(list(batches), ignore_index=True)
-        if not len(part):
+        tokenizer = _tokenizer(vocabulary)
+        pieces, keys, lengths = [], [], []
+        for batch in batches:
+            for encoded in tokenizer.encode_batch_fast(batch["text"].tolist(), add_special_tokens=False):
+                ids = np.asarray(encoded.ids, np.uint32)
+                pieces.append(np.append(ids, np.uint32(codes.end_id)))
+                lengths.append(len(ids) + 1)
+            keys += [None if gone else int(d) for gone, d in zip(batch["no_id"], batch["doc_id"])]
+        if not keys:
             return
-        part = part.sort_values(["no_id", "doc_id", "text", "place"], ascending=[False, True, True, True], kind="stable")
-        encoded = _tokenizer(vocabulary).encode_batch(part["text"].tolist(), add_special_tokens=False)
-        pieces = [np.append(np.asarray(e.ids, np.uint32), np.uint32(codes.end_id)) for e in encoded]
-        lengths = np.array([len(p) for p in pieces], np.int64)
-        ids = np.concatenate(pieces) if pieces else np.zeros(0, np.uint32)
-        keys = [None if gone else int(d) for gone, d in zip(part["no_id"], part["doc_id"])]
-        blob = pack_shard(ids, keys, lengths, codes.chunk_bits)
-        yield pd.DataFrame({"shard": [TaskContext.get().partitionId()], "n_docs": [len(part)], "n_ids": [len(ids)], "code": [blob]})
-
-    ordered = rows.repartitionByRange(shards, F.col("no_id").desc(), "doc_id", "text", "place")
+        ids = np.concatenate(pieces)
+        del pieces
+        blob = pack_shard(ids, keys, np.array(lengths, np.int64), codes.chunk_bits)
+        yield pd.DataFrame({"shard": [TaskContext.get().partitionId()], "n_docs": [len(keys)], "n_ids": [len(ids)], "code": [blob]})
+
+    order = [F.col("no_id").desc(), "doc_id", "text", "place"]
+    ordered = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     ordered.mapInPandas(shard, SHARDS).write.mode("overwrite").parquet(path)
 
 

@@ -16,6 +16,7 @@ from gleanframe.llm.language import identify, learn
 from gleanframe.llm.odd_sketch import near_duplicates
 from gleanframe.llm.packing import pack
 from gleanframe.llm.pii import find_personal_data
+from gleanframe.llm.prefix_trie import prefix_trie
 from gleanframe.llm.secret_forest import scan_secrets
 from gleanframe.llm.spelling import spelling_variants
 from gleanframe.llm.suffix_dedup import remove_repeats
@@ -85,12 +86,16 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(_table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes(_table(spark, sf_dir, "documents"))
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_chat_segments, op2_pii_field, op3_secret_forest, op4_language_profiles, op5_template_decontamination, op6_suffix_dedup, op7_best_fit_packing, op8_weak_toxicity, op9_flat_graph_dedup, op10_odd_sketch_dedup, op11_spelling_variants, op13_token_codes]
+    found = [op1_chat_segments, op2_pii_field, op3_secret_forest, op4_language_profiles, op5_template_decontamination, op6_suffix_dedup, op7_best_fit_packing, op8_weak_toxicity, op9_flat_graph_dedup, op10_odd_sketch_dedup, op11_spelling_variants, op12_prefix_trie, op13_token_codes]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 

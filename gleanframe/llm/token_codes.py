@@ -54,7 +54,7 @@ class Codes:
     vocabulary: str | None = None
     end_id: int = 2
     chunk_bits: int = 8
-    shard_chars: int = 32 << 20
+    shard_chars: int = 8 << 20
 
 
 def _tokenizer(path: str):

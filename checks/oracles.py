@@ -151,7 +151,7 @@ def oracle_sql() -> dict[str, str]:
     money = "CAST(o_totalprice AS DECIMAL(18,2))"
     minute = "o_orderdate + to_minutes(o_orderkey % 1440)"
     size_text = "CASE p_size % 3 WHEN 0 THEN 'in_stock' WHEN 1 THEN 'out_of_stock' ELSE 'on_order' END"
-    return {
+    found = {
         "money_texts": f"""
             SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN -{money} ELSE {money} END AS amount FROM orders""",
         "date_texts": f"""
@@ -433,3 +433,6 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN p_partkey % 7 = 0 THEN 'detail' END AS stage
             FROM part""",
     }
+    # Pages of all orders as bytes in two charsets and three ways: the records of purchase_extract.
+    found["charset_extract"] = found["purchase_extract"]
+    return found

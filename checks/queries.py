@@ -27,9 +27,9 @@ from gleanframe.operators import (
 from gleanframe.plans.harvest import harvest
 from gleanframe.plans.spec import ProductSpec, PurchaseSpec
 from gleanframe.schemas import LISTING_KEYS, LISTING_PAYLOAD
-from gleanframe.session import prepare, shared_folder
+from gleanframe.session import durable, prepare, shared_folder
 from gleanframe.sources.markup import page_nodes
-from gleanframe.sources.pages import stream_pages
+from gleanframe.sources.pages import page_texts, stream_pages
 from gleanframe.sources.state import initialise
 from gleanframe.streaming.ingest import ingest_pages
 
@@ -741,10 +741,30 @@ def registered() -> dict:
         run_summary, run_errors, all_totals, exit_code,
         constraint_check, duplicate_keys, ambiguous_ids, orphans_and_cascade,
         fetch_outcomes, fetch_classes, retry_due, refetch, url_outcomes, host_slots, size_gate,
-        harvest_run, stream_run, rerun_newest_fetch, stream_replay,
+        harvest_run, stream_run, rerun_newest_fetch, stream_replay, charset_extract,
     )
 
     def prepared(query):
         return lambda spark, folder: query(prepare(spark), folder)
 
     return {query.__name__: prepared(query) for query in queries}
+
+
+# --- pages as bytes ------------------------------------------------------------------
+
+
+def charset_extract(spark: SparkSession, folder: str) -> DataFrame:
+    """Notice pages of all orders as bytes in UTF-8 or windows-1251, declared by header, mark or meta,
+    landed as a table, read back through the charset decoder and extracted to records."""
+    spark = prepare(spark)
+    fetched = render.page_bytes(render.notice_pages(render.orders(spark, folder)))
+    pages = page_texts(durable(fetched))
+    listed = records.complete_purchases(
+        records.with_own_references(records.extract_purchases(pages.select("url", "html"), NOTICES)), NOTICES
+    )
+    return listed.select(
+        "source", "kind", "external_id", "number", "title", "description", "customer_name", "status",
+        ntz(F.col("published_at")).alias("published_at"), ntz(F.col("deadline_at")).alias("deadline_at"),
+        tx.to_money(F.col("price")).alias("price"), "currency", "url", "raw_payload",
+        F.size("attachments").alias("attachment_count"),
+    )

@@ -101,6 +101,32 @@ def notice_pages(rows: DataFrame) -> DataFrame:
     return rows.select(notice_url(F.col("o_orderkey")).alias("url"), html.alias("html"))
 
 
+def page_bytes(pages: DataFrame) -> DataFrame:
+    """Pages (url, html) as fetched bytes: six ways by a hash of the URL, UTF-8 or windows-1251,
+    declared in the Content-Type header, by a byte order mark, or in a meta element."""
+    from gleanframe.functions.charset import HIGH, TABLES
+
+    way = F.pmod(F.crc32(F.col("url")), F.lit(6))
+    html = F.col("html")
+    meta = F.when(way == 2, '<meta charset="utf-8">').when(way == 4, '<meta charset="Windows-1251">').when(
+        way == 5, "<meta http-equiv='Content-Type' content='text/html; charset=cp1251'>"
+    )
+    html = F.when(meta.isNotNull(), F.replace(html, F.lit("<head>"), F.concat(F.lit("<head>"), meta))).otherwise(html)
+    utf8 = F.encode(html, "UTF-8")
+    cyrillic = F.encode(F.translate(html, TABLES["windows-1251"], HIGH), "ISO-8859-1")
+    content = (
+        F.when(way == 1, F.concat(F.unhex(F.lit("EFBBBF")), utf8))
+        .when(way >= 3, cyrillic)
+        .otherwise(utf8)
+    )
+    header = F.when(way == 0, "text/html; charset=UTF-8").when(way == 3, "text/html; charset=windows-1251").otherwise("text/html")
+    return pages.select(
+        F.lit("notices").alias("source"), F.lit("detail").alias("role"), "url", F.lit(200).alias("status_code"),
+        content.alias("content"), F.create_map(F.lit("Content-Type"), header).alias("headers"),
+        F.lit(None).cast("timestamp").alias("fetched_at"),
+    )
+
+
 def list_pages(entries: DataFrame, page_url: Column, next_link: Column, endless: bool = False) -> DataFrame:
     """``url, html`` of list pages from ``page, pos, entry`` rows; a page holds few entries.
 

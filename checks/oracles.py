@@ -435,4 +435,11 @@ def oracle_sql() -> dict[str, str]:
     }
     # Pages of all orders as bytes in two charsets and three ways: the records of purchase_extract.
     found["charset_extract"] = found["purchase_extract"]
+    url = "'https://n.example/epz/order/notice/' || o_orderkey || '?print=1'"
+    found["detail_causes"] = f"""
+        SELECT o_orderkey, 'detail' AS stage, 'detail page not available: ' || {url} || ' (' || CASE o_orderkey % 3
+                WHEN 0 THEN 'blocked: origin rejected the request (HTTP 403): ' || {url}
+                WHEN 1 THEN 'permanent: HTTP 404: ' || {url}
+                ELSE 'transient: timed out' END || ')' AS message
+        FROM orders WHERE o_orderkey % 5 = 0"""
     return found

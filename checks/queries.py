@@ -741,7 +741,7 @@ def registered() -> dict:
         run_summary, run_errors, all_totals, exit_code,
         constraint_check, duplicate_keys, ambiguous_ids, orphans_and_cascade,
         fetch_outcomes, fetch_classes, retry_due, refetch, url_outcomes, host_slots, size_gate,
-        harvest_run, stream_run, rerun_newest_fetch, stream_replay, charset_extract,
+        harvest_run, stream_run, rerun_newest_fetch, stream_replay, charset_extract, detail_causes,
     )
 
     def prepared(query):
@@ -768,3 +768,36 @@ def charset_extract(spark: SparkSession, folder: str) -> DataFrame:
         tx.to_money(F.col("price")).alias("price"), "currency", "url", "raw_payload",
         F.size("attachments").alias("attachment_count"),
     )
+
+
+def detail_causes(spark: SparkSession, folder: str) -> DataFrame:
+    """Notices of all orders; every fifth newest fetch failed. The fetch log of all orders has an
+    old success of each, an attempt on the fifth ones (blocked, not found or timed out by key),
+    and a later success of every second order after the run, which the run must not see."""
+    spark = prepare(spark)
+    orders = render.orders(spark, folder)
+    root = _run_folder(spark)
+    lists = render.as_landed(render.notice_lists(orders, F.col("o_orderkey")), render.NOTICES, "list")
+    fine = render.as_landed(render.notice_pages(orders), render.NOTICES, "detail")
+    failed = render.as_landed(render.notice_pages(orders.where(F.pmod("o_orderkey", F.lit(5)) == 0)), render.NOTICES, "detail")
+    for pages in (lists, _fetched(fine, 2), _fetched(failed, 4, 503)):
+        pages.write.mode("append").partitionBy("source", "role").parquet(f"{root}/pages")
+    key, url = F.col("o_orderkey"), render.notice_url(F.col("o_orderkey"))
+
+    def attempts(rows: DataFrame, at: str, status: Column, error: Column) -> DataFrame:
+        return rows.select(
+            url.alias("url"), F.lit(1).alias("attempt_no"), F.lit("http").alias("transport"),
+            F.lit(at).cast("timestamp").alias("requested_at"), status.cast("int").alias("status_code"),
+            error.alias("error"), F.lit(None).cast("bigint").alias("content_length"), F.lit(None).cast("bigint").alias("bytes"),
+        )
+
+    fifth = orders.where(F.pmod(key, F.lit(5)) == 0)
+    way = F.pmod(key, F.lit(3))
+    log = (
+        attempts(orders, "2026-01-02 00:00:00", F.lit(200), F.lit(None).cast("string"))
+        .unionByName(attempts(fifth, "2026-01-04 00:00:00", F.when(way == 0, 403).when(way == 1, 404), F.when(way == 2, "timed out")))
+        .unionByName(attempts(orders.where(F.pmod(key, F.lit(2)) == 0), "2026-06-01 00:00:00", F.lit(200), F.lit(None).cast("string")))
+    )
+    tables = initialise(spark, f"{root}/state", buckets=8)
+    result = harvest(spark, spark.read.parquet(f"{root}/pages"), [NOTICES], tables, NOW, fetch_log=log)
+    return result.errors.select(F.col("external_id").cast("long").alias("o_orderkey"), "stage", "message")

@@ -65,3 +65,45 @@ def join_unique(
         "salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("hot"), F.lit(1)) - 1))
     )
     return left.drop("hot").join(right.drop("hot"), [*keys, "salt"], how).drop("salt")
+
+
+def as_of(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    left_time: str,
+    right_time: str,
+    values: Sequence[str],
+) -> DataFrame:
+    """Each left row with ``values`` of the latest right row of its key at or before its time.
+
+    Both sides become one frame (left rows tagged), ordered per key by time with right rows
+    first at equal times, and a running last value carries the newest right row forward; the
+    left rows then pick it up. A left row without an earlier right row gets nulls; of right rows
+    at one time the one with the largest values counts, so the result does not depend on order;
+    a null key matches nothing.
+    Rows of one key are sorted in one task (Spark sorts and spills there); every left row stays.
+    """
+    from pyspark.sql import Window
+
+    value_type = right.select(F.struct(*values).alias("v")).schema["v"].dataType
+    tagged = left.select(
+        "*",
+        F.col(left_time).alias("_at"),
+        F.lit(1).alias("_side"),
+        F.lit(None).cast(value_type).alias("_v"),
+    )
+    others = [c for c in left.columns if c not in keys]
+    # As in a join, a null key matches nothing.
+    found = right.where(F.greatest(*(F.col(k).isNull() for k in keys), F.lit(False)) == F.lit(False)).select(
+        *keys,
+        *(F.lit(None).cast(left.schema[c].dataType).alias(c) for c in others),
+        F.col(right_time).alias("_at"),
+        F.lit(0).alias("_side"),
+        F.struct(*values).alias("_v"),
+    )
+    order = Window.partitionBy(*keys).orderBy(F.col("_at").asc_nulls_first(), "_side", F.col("_v").asc_nulls_first())
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = tagged.unionByName(found.select(*tagged.columns))
+    carried = both.withColumn("_v", F.last("_v", ignorenulls=True).over(upto))
+    return carried.where(F.col("_side") == 1).select(*left.columns, *(F.col("_v")[v].alias(v) for v in values))

@@ -435,6 +435,25 @@ def oracle_sql() -> dict[str, str]:
     }
     # Pages of all orders as bytes in two charsets and three ways: the records of purchase_extract.
     found["charset_extract"] = found["purchase_extract"]
+    found["harvest_attachments"] = """
+        WITH f AS (
+            SELECT o_orderkey, 'https://n.example/docs/%D0%A2%D0%97%20' || o_orderkey || '.PDF' AS source_url,
+                CASE o_orderkey % 4 WHEN 0 THEN 'stored' WHEN 1 THEN 'ok' WHEN 2 THEN 'size' ELSE 'error' END AS way,
+                1000 + o_orderkey AS kept, 2000 + o_orderkey AS fresh
+            FROM orders
+            UNION ALL
+            SELECT o_orderkey, 'https://n.example/files?id=' || o_orderkey,
+                CASE o_orderkey % 3 WHEN 0 THEN 'missing' WHEN 1 THEN 'large' ELSE 'ok' END, NULL, 3000 + o_orderkey
+            FROM orders
+        )
+        SELECT o_orderkey, source_url,
+            CASE WHEN way IN ('stored', 'ok') THEN 'downloaded' ELSE 'failed' END AS status,
+            CAST(CASE way WHEN 'stored' THEN kept WHEN 'ok' THEN fresh END AS BIGINT) AS size,
+            CASE way WHEN 'stored' THEN sha256('stored ' || o_orderkey) WHEN 'ok' THEN sha256(source_url) END AS sha256,
+            CASE way WHEN 'size' THEN 'size differs from the reported one: ' || source_url WHEN 'error' THEN 'HTTP 500'
+                WHEN 'missing' THEN 'not downloaded: ' || source_url WHEN 'large' THEN 'declared size over the limit' END AS error,
+            way IN ('stored', 'ok') AS has_path
+        FROM f"""
     url = "'https://n.example/epz/order/notice/' || o_orderkey || '?print=1'"
     found["detail_causes"] = f"""
         SELECT o_orderkey, 'detail' AS stage, 'detail page not available: ' || {url} || ' (' || CASE o_orderkey % 3

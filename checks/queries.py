@@ -741,7 +741,7 @@ def registered() -> dict:
         run_summary, run_errors, all_totals, exit_code,
         constraint_check, duplicate_keys, ambiguous_ids, orphans_and_cascade,
         fetch_outcomes, fetch_classes, retry_due, refetch, url_outcomes, host_slots, size_gate,
-        harvest_run, stream_run, rerun_newest_fetch, stream_replay, charset_extract, detail_causes,
+        harvest_run, stream_run, rerun_newest_fetch, stream_replay, charset_extract, detail_causes, harvest_attachments,
     )
 
     def prepared(query):
@@ -801,3 +801,55 @@ def detail_causes(spark: SparkSession, folder: str) -> DataFrame:
     tables = initialise(spark, f"{root}/state", buckets=8)
     result = harvest(spark, spark.read.parquet(f"{root}/pages"), [NOTICES], tables, NOW, fetch_log=log)
     return result.errors.select(F.col("external_id").cast("long").alias("o_orderkey"), "stage", "message")
+
+
+def harvest_attachments(spark: SparkSession, folder: str) -> DataFrame:
+    """Notices of all orders with their two files through one run, read back from the attachments
+    table. The first file of an order is in place already, downloaded, of another size than
+    reported, or failed (by key modulo 4); the second is missing, over the size limit or
+    downloaded (by key modulo 3)."""
+    from gleanframe.functions.urls import attachment_path
+    from gleanframe.operators.fetchlog import MAX_ATTACHMENT_BYTES
+    from gleanframe.plans.harvest import Landed
+
+    spark = prepare(spark)
+    orders = render.orders(spark, folder)
+    root = _run_folder(spark)
+    lists = render.as_landed(render.notice_lists(orders, F.col("o_orderkey")), render.NOTICES, "list")
+    details = render.as_landed(render.notice_pages(orders), render.NOTICES, "detail")
+    for pages in (lists, _fetched(details, 2)):
+        pages.write.mode("append").partitionBy("source", "role").parquet(f"{root}/pages")
+    key = F.col("o_orderkey")
+    first = F.concat(F.lit("https://n.example/docs/%D0%A2%D0%97%20"), key.cast("string"), F.lit(".PDF"))
+    second = F.concat(F.lit("https://n.example/files?id="), key.cast("string"))
+    files = f"{root}/files"
+    stored = orders.where(F.pmod(key, F.lit(4)) == 0).select(
+        attachment_path(F.lit(files), F.lit(render.NOTICES), key.cast("string"), first, F.concat(F.lit("ТЗ "), key.cast("string"), F.lit(".PDF"))).alias("path"),
+        (F.lit(1000) + key).cast("bigint").alias("length"),
+        F.sha2(F.concat(F.lit("stored "), key.cast("string")), 256).alias("sha256"),
+    )
+
+    def sent(rows: DataFrame, url: Column, reported: Column, length: Column, error: Column) -> DataFrame:
+        return rows.select(
+            url.alias("source_url"), F.lit("application/pdf").alias("content_type"), reported.cast("bigint").alias("reported_size"),
+            length.cast("bigint").alias("length"), F.when(error.isNull(), F.sha2(url, 256)).alias("sha256"), error.cast("string").alias("error"),
+        )
+
+    way, other = F.pmod(key, F.lit(4)), F.pmod(key, F.lit(3))
+    no_error = F.lit(None).cast("string")
+    downloads = sent(
+        orders.where(way != 0), first, F.lit(2000) + key, F.when(way == 2, F.lit(1999) + key).otherwise(F.lit(2000) + key),
+        F.when(way == 3, F.lit("HTTP 500")),
+    ).unionByName(
+        sent(
+            orders.where(other != 0), second,
+            F.when(other == 1, F.lit(MAX_ATTACHMENT_BYTES + 1)).otherwise(F.lit(3000) + key),
+            F.when(other == 1, F.lit(MAX_ATTACHMENT_BYTES + 1)).otherwise(F.lit(3000) + key), no_error,
+        )
+    )
+    tables = initialise(spark, f"{root}/state", buckets=8)
+    harvest(spark, spark.read.parquet(f"{root}/pages"), [NOTICES], tables, NOW, landed=Landed(downloads, stored, files))
+    return tables["attachments"].read(spark).select(
+        F.col("external_id").cast("long").alias("o_orderkey"), "source_url", "status", "size", "sha256", "error",
+        (F.col("local_path").isNotNull()).alias("has_path"),
+    )

@@ -327,7 +327,9 @@ def _across(open_rows: DataFrame, docs: DataFrame, reps: DataFrame, p: OddSketch
 
 
 def near_duplicates(docs: DataFrame, p: OddSketch = OddSketch()) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles, component_id, text_hash and kept for every row of ``docs`` (doc_id, text).
+
+    ``text_hash`` (xxhash64 of the text) tells the rows of one doc_id apart.
 
     Repeated rows of a doc_id get the same result; where their texts differ, each row is
     judged by its own text under the one name. Null and blank texts have an empty set and link
@@ -370,11 +372,11 @@ def near_duplicates(docs: DataFrame, p: OddSketch = OddSketch()) -> DataFrame:
     named = reps.join(final, reps.rep == final.node, "left").select(
         "digest", F.coalesce("component", "rep").alias("component_id")
     )
-    found = full.select("doc_id", "n_shingles", "digest").join(named, "digest").select(
-        "doc_id", "n_shingles", "component_id"
+    found = full.select("doc_id", "n_shingles", "digest", "text_hash").join(named, "digest").select(
+        "doc_id", "n_shingles", "component_id", "text_hash"
     )
     alone = signed.where("n_shingles = 0 or doc_id is null").select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id")
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash"
     )
     return found.union(alone).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))

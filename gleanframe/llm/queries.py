@@ -79,7 +79,7 @@ def op9_flat_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

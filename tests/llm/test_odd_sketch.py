@@ -59,7 +59,7 @@ def test_families_against_brute_force(spark):
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     same = "a long enough text that says the same thing to all"
     rows = [(5, same), (5, same), (2, same), (None, same), (None, None)]
-    got = sorted(map(str, (tuple(r) for r in near_duplicates(docs(spark, rows)).collect())))
+    got = sorted(map(str, (tuple(r) for r in near_duplicates(docs(spark, rows)).drop("text_hash").collect())))
     assert got == sorted(map(str, [(5, 7, 2, False), (5, 7, 2, False), (2, 7, 2, True), (None, 7, None, True), (None, 0, None, True)]))
     assert near_duplicates(docs(spark, [])).count() == 0
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleanframe.llm.batches import bucket_of, unused
 from gleanframe.llm.decontamination import contaminated
@@ -53,20 +53,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest doc_id.
 
-    Of rows that repeat a doc_id the one with the first text stays. Rows without a doc_id stay.
+    Rows are told apart by (doc_id, text): of rows that repeat a doc_id, each text is judged on
+    its own, so a unique text under a repeated doc_id stays while a copy goes; of rows with equal
+    doc_id and text one stays. Rows without a doc_id stay.
     """
     prepare(spark)
-    one, nth = unused("kept_id", docs), unused("nth", docs)
-    kept = near_duplicates(docs, NEAR).where("kept and doc_id is not null").select(F.col("doc_id").alias(one)).distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    named = (
-        docs.where("doc_id is not null")
-        .join(kept, F.col("doc_id") == F.col(one), "left_semi")
-        .withColumn(nth, F.row_number().over(first))
-        .where(F.col(nth) == 1)
-        .select(*docs.columns)
+    one, digest = unused("kept_id", docs), unused("kept_hash", docs)
+    kept = (
+        near_duplicates(docs, NEAR)
+        .where("kept and doc_id is not null")
+        .select(F.col("doc_id").alias(one), F.col("text_hash").alias(digest))
+        .distinct()
     )
-    return named.union(docs.where("doc_id is null"))
+    same = (F.col("doc_id") == F.col(one)) & (F.xxhash64("text") == F.col(digest))
+    named = docs.where("doc_id is not null").join(kept, same, "left_semi")
+    # Repeated rows: one of each (doc_id, text); an aggregate, combined before its shuffle.
+    return named.dropDuplicates(["doc_id", "text"]).union(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,3 +61,11 @@ def test_pipeline_keeps_other_columns_and_odd_rows(spark):
     for _, function in corpus_pipeline.STAGES:
         empty = durable(function(spark, empty, FOLDER))
     assert empty.count() == 0
+
+
+def test_near_duplicate_stage_keeps_unique_texts_of_repeated_ids(spark):
+    a = "one two three four five six seven eight nine ten eleven twelve"
+    u = "an entirely different text with words of its own and nothing shared"
+    rows = docs(spark, [(1, a), (5, a), (5, u), (5, u), (7, None), (7, None)], "kept_id", "kept_hash")
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicate(spark, rows, FOLDER).collect())
+    assert got == [(1, a), (5, u), (7, None)]

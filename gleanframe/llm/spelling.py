@@ -46,7 +46,7 @@ class Variants:
     min_chars: int = 7
     min_count: int = 2
     ratio: int = 10
-    key_letters: str = "ea"
+    key_letters: str = "eaion"
     chunk_rows: int = 4096
 
 
@@ -89,42 +89,54 @@ def one_edit(a: str, b: str) -> bool:
     return a[i:] == b[i + 1 :]
 
 
-#: Rows of one side multiplied at once: a 1,024 x 4,096 float64 product is 32 MB.
-SLAB = 1024
+#: Rows of a home multiplied at once: a 512 x 8,192 float64 product is 32 MB.
+SLAB = 512
+#: Blocks and routes are small tables (distinct lengths and key counts); above these sizes they are joined by a shuffle.
+BROADCAST_BLOCKS = 200_000
+BROADCAST_ROUTES = 2_000_000
 
 PAIRS = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
 
 
 def _compare(rows: pd.DataFrame) -> pd.DataFrame:
-    """All verified near pairs between the two sides of one chunk pair (one side if they are one)."""
-    left = rows[rows["side"] == 0]["word"].tolist()
-    right = rows[rows["side"] == 1]["word"].tolist()
-    same = bool(rows["alone"].any())
-    right = left if same else right
+    """Verified near pairs of one home: its own words among themselves and against the others sent there."""
+    own = rows[rows["side"] == 0]["word"].tolist()
+    others = rows[rows["side"] == 1]["word"].tolist()
     a, b = [], []
-    if not left or not right:
-        return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
-    x, y = _counts(left), _counts(right)
-    ny = (y * y).sum(1)
-    for top in range(0, len(left), SLAB):
-        part = x[top : top + SLAB]
-        squares = (part * part).sum(1)[:, None] + ny[None, :] - 2 * (part @ y.T)
-        close = squares <= 2.5
-        if same:
-            close &= np.arange(top, top + len(part))[:, None] < np.arange(len(right))[None, :]
-        for i, j in zip(*np.nonzero(close)):
-            if one_edit(left[top + i], right[j]):
-                a.append(left[top + i])
-                b.append(right[j])
+    if own:
+        x = _counts(own)
+        y = _counts(others) if others else x[:0]
+        ny_own, ny_other = (x * x).sum(1), (y * y).sum(1)
+        for top in range(0, len(own), SLAB):
+            part = x[top : top + SLAB]
+            nx = (part * part).sum(1)[:, None]
+            close = nx + ny_own[None, :] - 2 * (part @ x.T) <= 2.5
+            close &= np.arange(top, top + len(part))[:, None] < np.arange(len(own))[None, :]
+            hits = [(own[top + i], own[j]) for i, j in zip(*np.nonzero(close))]
+            if others:
+                close = nx + ny_other[None, :] - 2 * (part @ y.T) <= 2.5
+                hits += [(own[top + i], others[j]) for i, j in zip(*np.nonzero(close))]
+            for p, q in hits:
+                if one_edit(p, q):
+                    a.append(p)
+                    b.append(q)
     return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
 
 
 def near_pairs(counted: DataFrame, v: Variants = Variants()) -> DataFrame:
-    """Pairs (a, b) of distinct words one edit apart, each unordered pair once."""
+    """Pairs (a, b) of distinct words one edit apart, each unordered pair once.
+
+    A home is one chunk of one block. Its own words are compared among themselves, with the
+    later chunks of their block, and with all chunks of the neighbour blocks an edit reaches
+    from it that come later (same length, larger key counts) or are one longer. So each pair of
+    blocks is compared in exactly one home, and a word is sent to its own home and to the homes
+    of the blocks before it: about 1 + neighbours / 2 copies, never a pair list.
+    """
     keys = [(F.length("word") - F.length(F.regexp_replace("word", c, ""))).alias(f"k{i}") for i, c in enumerate(v.key_letters)]
     placed = counted.select("word", F.length("word").alias("len"), *keys)
     cols = ["len", *(f"k{i}" for i in range(len(v.key_letters)))]
     blocks = durable(placed.groupBy(*cols).agg(F.ceil(F.count("*") / v.chunk_rows).alias("chunks")))
+    blocks = durable(blocks.withColumn("block", F.monotonically_increasing_id()))
     a, b = blocks.alias("a"), blocks.alias("b")
     deltas = [F.col(f"b.k{i}") - F.col(f"a.k{i}") for i in range(len(v.key_letters))]
     moved = sum((F.abs(d) for d in deltas), F.lit(0))
@@ -134,30 +146,38 @@ def near_pairs(counted: DataFrame, v: Variants = Variants()) -> DataFrame:
         bounded = bounded & (F.abs(d) <= 1)
     a_key = F.struct(*(F.col(f"a.{c}") for c in cols))
     b_key = F.struct(*(F.col(f"b.{c}") for c in cols))
-    same_len = (F.col("b.len") == F.col("a.len")) & (a_key <= b_key) & (moved <= 2) & (raised >= -1) & (raised <= 1)
+    same_len = (F.col("b.len") == F.col("a.len")) & (a_key < b_key) & (moved <= 2) & (raised >= -1) & (raised <= 1)
     longer = (F.col("b.len") == F.col("a.len") + 1) & (moved <= 1) & (raised >= 0)
-    pairs = a.join(b, bounded & (same_len | longer)).select(
-        *(F.col(f"a.{c}").alias(f"a_{c}") for c in cols),
-        *(F.col(f"b.{c}").alias(f"b_{c}") for c in cols),
-        F.explode(F.sequence(F.lit(0), F.col("a.chunks") - 1)).alias("a_chunk"),
-        F.col("b.chunks").alias("b_chunks"),
-        (a_key == b_key).alias("one_block"),
+    # Routes: the words of block b (any chunk) go to every chunk of each block a before it.
+    routes = a.join(b, bounded & (same_len | longer)).select(
+        F.col("b.block").alias("from_block"),
+        F.lit(-1).cast("long").alias("from_chunk"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("a.chunks") - 1)).alias("to_chunk"),
+        F.col("a.block").alias("to_block"),
     )
-    pairs = pairs.select("*", F.explode(F.sequence(F.lit(0), F.col("b_chunks") - 1)).alias("b_chunk"))
-    pairs = pairs.where(~F.col("one_block") | (F.col("a_chunk") <= F.col("b_chunk")))
-    pairs = durable(pairs.withColumn("pair", F.struct(*(f"a_{c}" for c in cols), "a_chunk", *(f"b_{c}" for c in cols), "b_chunk")))
-    chunked = placed.join(blocks, cols).select(
-        "word", *cols, F.pmod(F.xxhash64("word"), F.col("chunks")).alias("chunk")
+    # Within a block, chunk c also goes to the homes of the chunks before it.
+    inside = blocks.where("chunks > 1").select(
+        F.col("block").alias("from_block"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("chunks") - 1)).alias("from_chunk"),
+        F.col("block").alias("to_block"),
+    ).select("from_block", "from_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("from_chunk") - 1)).alias("to_chunk"), "to_block")
+    routes = durable(routes.unionByName(inside))
+    home = F.col("block") * (1 << 20) + F.col("chunk")
+    chunked = durable(
+        placed.join(F.broadcast(blocks) if blocks.count() <= BROADCAST_BLOCKS else blocks, cols).select(
+            "word", "block", F.pmod(F.xxhash64("word"), F.col("chunks")).alias("chunk")
+        )
     )
-    left = chunked.join(
-        pairs, [chunked[c] == pairs[f"a_{c}"] for c in cols] + [chunked["chunk"] == pairs["a_chunk"]]
-    ).select("pair", "word", F.lit(0).alias("side"), (F.col("one_block") & (F.col("a_chunk") == F.col("b_chunk"))).alias("alone"))
-    # The second side is sent only where it is another chunk; a chunk against itself has one side.
-    other = pairs.where(~(F.col("one_block") & (F.col("a_chunk") == F.col("b_chunk"))))
-    right = chunked.join(
-        other, [chunked[c] == other[f"b_{c}"] for c in cols] + [chunked["chunk"] == other["b_chunk"]]
-    ).select("pair", "word", F.lit(1).alias("side"), F.lit(False).alias("alone"))
-    found = left.union(right).groupBy("pair").applyInPandas(_compare, PAIRS)
+    own = chunked.select(home.alias("home"), "word", F.lit(0).alias("side"))
+    sent = routes.count() <= BROADCAST_ROUTES
+    by_block = routes.where("from_chunk < 0")
+    by_chunk = routes.where("from_chunk >= 0")
+    to_home = (F.col("to_block") * (1 << 20) + F.col("to_chunk")).alias("home")
+    near = chunked.join(F.broadcast(by_block) if sent else by_block, F.col("block") == F.col("from_block")).select(to_home, "word", F.lit(1).alias("side"))
+    same = chunked.join(
+        F.broadcast(by_chunk) if sent else by_chunk, (F.col("block") == F.col("from_block")) & (F.col("chunk") == F.col("from_chunk"))
+    ).select(to_home, "word", F.lit(1).alias("side"))
+    found = own.unionByName(near).unionByName(same).groupBy("home").applyInPandas(_compare, PAIRS)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 

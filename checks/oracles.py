@@ -454,6 +454,18 @@ def oracle_sql() -> dict[str, str]:
                 WHEN 'missing' THEN 'not downloaded: ' || source_url WHEN 'large' THEN 'declared size over the limit' END AS error,
             way IN ('stored', 'ok') AS has_path
         FROM f"""
+    found["run_document"] = f"""
+        WITH s AS ({SUMMARY}),
+        e AS (SELECT source, 'ошибка: ' || props AS m, event_id FROM ({OUTCOMES}) WHERE step = 'error'),
+        per AS (SELECT source, count(*) AS n, md5(string_agg(m, chr(10) ORDER BY event_id)) AS d FROM e GROUP BY source)
+        SELECT s.source, discovered, processed, inserted, updated, attachments_downloaded,
+            CAST(coalesce(n, 0) AS BIGINT) AS errors, coalesce(d, md5('')) AS digest
+        FROM s LEFT JOIN per USING (source)
+        UNION ALL
+        SELECT 'all', CAST(sum(discovered) AS BIGINT), CAST(sum(processed) AS BIGINT), CAST(sum(inserted) AS BIGINT),
+            CAST(sum(updated) AS BIGINT), CAST(sum(attachments_downloaded) AS BIGINT),
+            (SELECT count(*) FROM e), (SELECT coalesce(md5(string_agg(m, chr(10) ORDER BY source, event_id)), md5('')) FROM e)
+        FROM s"""
     url = "'https://n.example/epz/order/notice/' || o_orderkey || '?print=1'"
     found["detail_causes"] = f"""
         SELECT o_orderkey, 'detail' AS stage, 'detail page not available: ' || {url} || ' (' || CASE o_orderkey % 3

@@ -59,6 +59,8 @@ def words(docs: DataFrame, v: Variants = Variants()) -> DataFrame:
     dropped = F.concat(F.col("low").substr(F.lit(1), cut), F.col("low").substr(cut + 2, F.lit(1 << 30)))
     found = (
         docs.select("doc_id", F.explode(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(RUN), 0)).alias("run"))
+        # A deletion shortens by one at most: shorter runs cannot give a word.
+        .where(F.length("run") >= v.min_chars)
         .select("doc_id", run.alias("low"))
         .select(F.when(h % DELETE_EVERY == 0, dropped).otherwise(F.col("low")).alias("word"))
         .where(F.length("word") >= v.min_chars)
@@ -66,11 +68,11 @@ def words(docs: DataFrame, v: Variants = Variants()) -> DataFrame:
     return found.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= v.min_count)
 
 
-def _counts(words: list[str]) -> np.ndarray:
-    """Letter counts of words, one row each, over the 90 letters (float64: exact for counts)."""
+def _counts(words: list[str], kind=np.float32) -> np.ndarray:
+    """Letter counts of words, one row each, over the 90 letters."""
     codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
     rows = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    out = np.zeros(len(words) * 90, np.float64)
+    out = np.zeros(len(words) * 90, kind)
     np.add.at(out, rows * 90 + _PLACES[codes], 1)
     return out.reshape(len(words), 90)
 
@@ -91,6 +93,8 @@ def one_edit(a: str, b: str) -> bool:
 
 #: Rows of a home multiplied at once: a 512 x 8,192 float64 product is 32 MB.
 SLAB = 512
+#: Longest word whose letter counts multiply exactly in float32 (squares and sums below 2**23).
+EXACT_FLOAT32 = 2048
 #: Blocks and routes are small tables (distinct lengths and key counts); above these sizes they are joined by a shuffle.
 BROADCAST_BLOCKS = 200_000
 BROADCAST_ROUTES = 2_000_000
@@ -104,17 +108,20 @@ def _compare(rows: pd.DataFrame) -> pd.DataFrame:
     others = rows[rows["side"] == 1]["word"].tolist()
     a, b = [], []
     if own:
-        x = _counts(own)
-        y = _counts(others) if others else x[:0]
-        ny_own, ny_other = (x * x).sum(1), (y * y).sum(1)
+        # float32 products are exact while squared lengths stay below 2**23; longer words use float64.
+        kind = np.float32 if max(map(len, own + others)) <= EXACT_FLOAT32 else np.float64
+        x = _counts(own, kind)
+        y = _counts(others, kind) if others else x[:0]
+        # |p - q|^2 <= 2  <=>  p.q >= (|p|^2 + |q|^2 - 2) / 2
+        half_own, half_other = (x * x).sum(1) / 2, (y * y).sum(1) / 2
         for top in range(0, len(own), SLAB):
             part = x[top : top + SLAB]
-            nx = (part * part).sum(1)[:, None]
-            close = nx + ny_own[None, :] - 2 * (part @ x.T) <= 2.5
+            need = half_own[top : top + SLAB, None] - 1
+            close = part @ x.T >= need + half_own[None, :] - 0.25
             close &= np.arange(top, top + len(part))[:, None] < np.arange(len(own))[None, :]
             hits = [(own[top + i], own[j]) for i, j in zip(*np.nonzero(close))]
             if others:
-                close = nx + ny_other[None, :] - 2 * (part @ y.T) <= 2.5
+                close = part @ y.T >= need + half_other[None, :] - 0.25
                 hits += [(own[top + i], others[j]) for i, j in zip(*np.nonzero(close))]
             for p, q in hits:
                 if one_edit(p, q):

@@ -95,8 +95,14 @@ def not_older(rows: DataFrame, fetches: DataFrame) -> DataFrame:
 
 
 def _stream_id(spark: SparkSession) -> str:
-    """Id of the running streaming query: kept in its checkpoint folder, new with a new folder."""
-    return spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+    """Id of the running streaming query: kept in its checkpoint folder, new with a new folder.
+
+    Raises outside a stream's batch, where the property is not set: batch ids would not be unique.
+    """
+    found = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if found is None:
+        raise RuntimeError("no streaming query id here: merge_batch runs only inside a stream's batch")
+    return found
 
 
 def ingest_pages(
@@ -120,7 +126,9 @@ def ingest_pages(
             return
         checked = durable(batch_records(batch, specs))
         states = durable(page_states(checked, failed_pages(batch, specs)))
-        rows = durable(not_older(constraints.valid_rows(checked), tables["fetches"].read(spark)))
+        valid = constraints.valid_rows(checked)
+        # Only the buckets of the batch's keys are read of the stored fetches.
+        rows = durable(not_older(valid, tables["fetches"].read_touched(spark, valid)))
         # Both are merged before the listings: a batch that is repeated finds its own fetches, which are not newer.
         tables["errors"].merge(spark, states, merge_errors, batch_id)
         tables["fetches"].merge(spark, rows.select("source", "external_id", "fetched_at"), merge_fetches, batch_id)

@@ -128,3 +128,17 @@ def test_reports(spark):
     assert reports.newest_payload(listings).first().payload == '{\n  "k" : [ 1 ],\n  "é" : null\n}'
     assert reports.newest_payload(listings.limit(0)).collect() == []
     assert [tuple(r) for r in reports.counts_by_kind(listings).collect()] == [("s", "purchase", 3)]
+
+
+def test_reading_touched_buckets_lists_only_their_files(spark, tmp_path):
+    from gleanframe.sources.state import StateTable
+
+    table = StateTable(str(tmp_path / "fetches"), "source string, external_id string, fetched_at timestamp", ("source", "external_id"), ("source",), 8)
+    table.create(spark)
+    rows = spark.createDataFrame([("s", str(i), None) for i in range(400)], table.schema)
+    table.merge(spark, rows, lambda old, new: old.unionByName(new))
+    few = rows.where("external_id in ('1', '2')")
+    buckets = table.touched(few)
+    read = table.read_touched(spark, few)
+    assert 1 <= len(buckets) <= 2 and all(any(f"bucket={b}" in f for b in buckets) for f in read.inputFiles())
+    assert {r.external_id for r in few.collect()} <= {r.external_id for r in read.collect()} and read.count() < 400

@@ -7,6 +7,10 @@ is the rank of its bit (ones before it). A rank directory per level (ones before
 ``BLOCK_BITS`` bits) makes that rank a lookup plus one popcount, so any token can be read without
 decoding the ones before it, and small ids (most of a vocabulary) take one chunk and one bit.
 
+Texts are encoded by the tokenizers library piece by piece: the byte-level pattern cuts a text into
+pieces that BPE never merges across, each distinct piece of a shard is encoded once and its ids are
+reused (``memo_pieces`` bounds the memo). Tests hold the ids against whole-text encoding.
+
 Spark does the work: documents are range-partitioned by ``doc_id``, each partition is one shard
 that tokenizes its documents in ascending order and encodes their ids as one code; the codes are a
 table of binary values in a given folder (one row per shard, written by Spark, so any store works).
@@ -27,6 +31,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,6 +60,15 @@ class Codes:
     end_id: int = 2
     chunk_bits: int = 8
     shard_chars: int = 8 << 20
+    memo_pieces: int = 1_000_000
+
+
+def _splitter():
+    """The pattern that cuts text into the pieces byte-level BPE encodes one by one."""
+    import public_tokenizers
+    import regex
+
+    return regex.compile(public_tokenizers.PATTERN).findall
 
 
 def _tokenizer(path: str):
@@ -215,10 +229,21 @@ def write_codes(docs: DataFrame, path: str, codes: Codes = Codes()) -> None:
         from pyspark import TaskContext
 
         tokenizer = _tokenizer(vocabulary)
+        split = _splitter()
+        known: dict[str, list[int]] = {}
         pieces, keys, lengths = [], [], []
         for batch in batches:
-            for encoded in tokenizer.encode_batch_fast(batch["text"].tolist(), add_special_tokens=False):
-                ids = np.asarray(encoded.ids, np.uint32)
+            # Byte-level BPE never merges across the pieces its pattern cuts, so each distinct piece
+            # is encoded once by the tokenizer and its ids reused (a bounded memo, cleared when full).
+            cut = [split(text) for text in batch["text"]]
+            new = list({p for ps in cut for p in ps if p not in known})
+            if len(known) + len(new) > codes.memo_pieces:
+                known.clear()
+                new = list({p for ps in cut for p in ps})
+            for piece, encoded in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+                known[piece] = encoded.ids
+            for ps in cut:
+                ids = np.fromiter(chain.from_iterable(map(known.__getitem__, ps)), np.uint32)
                 pieces.append(np.append(ids, np.uint32(codes.end_id)))
                 lengths.append(len(ids) + 1)
             keys += [None if gone else int(d) for gone, d in zip(batch["no_id"], batch["doc_id"])]

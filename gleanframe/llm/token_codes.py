@@ -44,6 +44,7 @@ MAGIC = b"DAC1"
 BLOCK_BITS = 512
 
 _TOKENIZERS: dict[str, object] = {}
+_MEMOS: dict[str, dict[str, list[int]]] = {}
 
 
 def default_vocabulary() -> str:
@@ -230,7 +231,8 @@ def write_codes(docs: DataFrame, path: str, codes: Codes = Codes()) -> None:
 
         tokenizer = _tokenizer(vocabulary)
         split = _splitter()
-        known: dict[str, list[int]] = {}
+        # The memo lives as long as the Python worker, so later shards find the pieces of earlier ones.
+        known = _MEMOS.setdefault(vocabulary, {})
         pieces, keys, lengths = [], [], []
         for batch in batches:
             # Byte-level BPE never merges across the pieces its pattern cuts, so each distinct piece

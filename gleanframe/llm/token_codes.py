@@ -238,16 +238,21 @@ def write_codes(docs: DataFrame, path: str, codes: Codes = Codes()) -> None:
             # Byte-level BPE never merges across the pieces its pattern cuts, so each distinct piece
             # is encoded once by the tokenizer and its ids reused (a bounded memo, cleared when full).
             cut = [split(text) for text in batch["text"]]
-            new = list({p for ps in cut for p in ps if p not in known})
+            if not cut:
+                continue
+            new = [p for p in set(chain.from_iterable(cut)) if p not in known]
             if len(known) + len(new) > codes.memo_pieces:
                 known.clear()
-                new = list({p for ps in cut for p in ps})
+                new = list(set(chain.from_iterable(cut)))
             for piece, encoded in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
                 known[piece] = encoded.ids
-            for ps in cut:
-                ids = np.fromiter(chain.from_iterable(map(known.__getitem__, ps)), np.uint32)
+            # All ids of the batch in one array, cut at the documents' ends.
+            got = known.__getitem__
+            flat = np.array(list(chain.from_iterable(map(got, chain.from_iterable(cut)))), np.uint32)
+            sizes = np.array([sum(map(len, map(got, ps))) for ps in cut], np.int64)
+            for ids in np.split(flat, np.cumsum(sizes)[:-1]):
                 pieces.append(np.append(ids, np.uint32(codes.end_id)))
-                lengths.append(len(ids) + 1)
+            lengths += (sizes + 1).tolist()
             keys += [None if gone else int(d) for gone, d in zip(batch["no_id"], batch["doc_id"])]
         if not keys:
             return

@@ -10,8 +10,9 @@ of the document. And they must be more than a layout: there are several of them,
 item, and they hold a word that is not a function word. So a question asked again with other
 numbers or names is caught, and two texts that only share a layout are not.
 
-Only DataFrame functions are used. Documents are not shuffled: windows are made and looked up
-within one stage, against broadcast blocks of benchmark windows of a bounded number of rows.
+Only DataFrame functions are used. Documents are not shuffled: each text is cleaned once and cut
+all ways in one projection, windows are made and looked up within one stage, against broadcast
+blocks of benchmark windows of a bounded number of rows.
 """
 
 from __future__ import annotations
@@ -110,8 +111,9 @@ def _holds_slot(words: Column) -> Column:
     return F.arrays_overlap(words, F.array(F.lit(NAME), F.lit(NUMBER), F.lit(UNIT)))
 
 
-def _hash(words: str, at: str, size: int) -> Column:
-    return F.xxhash64(*(F.col(words)[F.col(at) + k] for k in range(size)))
+def _hash(words: Column, at: Column, size: Column) -> Column:
+    """Hash of the window of ``size`` words from ``at`` (sizes may differ row by row)."""
+    return F.xxhash64(F.slice(words, at + 1, size))
 
 
 def _windows(rows: DataFrame, words: str, size: int) -> DataFrame:
@@ -146,7 +148,7 @@ def benchmark_windows(benchmark: DataFrame, p: Templates) -> DataFrame:
             rows = windows.where(usable).select(
                 F.lit(size).alias("size"),
                 F.lit(way).alias("way"),
-                _hash(way, "at", size).alias("key"),
+                _hash(F.col(way), F.col("at"), F.lit(size)).alias("key"),
                 F.concat_ws(" ", inside).alias("window"),
                 "item_id",
                 F.col("at").alias("item_at"),
@@ -160,42 +162,53 @@ def benchmark_windows(benchmark: DataFrame, p: Templates) -> DataFrame:
 def matched_windows(docs: DataFrame, windows: DataFrame, p: Templates) -> DataFrame:
     """Windows of documents that are windows of items: id, text_hash, at, key, window, size, way, plain words.
 
-    The hashes of the items' windows are broadcast in blocks of about ``rows_per_broadcast``
-    rows (8 bytes each), as many as there are; each block reads the documents once.
+    Each text is cleaned once and cut all three ways in one projection; the windows of every way
+    and size the benchmark uses are made from those arrays and looked up by hash, all in one scan
+    of the documents for each block of about ``rows_per_broadcast`` item windows (8 bytes each,
+    broadcast), so the documents are read once while the benchmark's windows fit one block.
     """
-    counted = windows.groupBy("way", "size").agg(F.count_distinct("key").alias("n")).collect()
+    counted = sorted((r["way"], r["size"]) for r in windows.select("way", "size").distinct().collect())
     ids = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")]
-    found = None
-    for way, size, n in sorted((row["way"], row["size"], row["n"]) for row in counted):
-        texts = docs.select(*ids, "text", _CUTS[way](_clean(F.col("text"))).alias("words"))
-        blocks = math.ceil(n / p.rows_per_broadcast)
-        for block in range(blocks):
-            keys = windows.where(
-                (F.col("way") == way) & (F.col("size") == size) & (F.pmod("key", F.lit(blocks)) == block)
-            ).select("key").distinct()
-            inside = F.slice("words", F.col("at") + 1, size)
-            plain = F.lit(None) if way == "plain" else F.slice(_CUTS["plain"](_clean(F.col("text"))), F.col("at") + 1, size)
-            rows = (
-                _windows(texts, "words", size)
-                .withColumn("key", _hash("words", "at", size))
-                .join(F.broadcast(keys), "key")
-                .select(
-                    "doc_id",
-                    "text_hash",
-                    "at",
-                    "key",
-                    F.lit(size).alias("size"),
-                    F.lit(way).alias("way"),
-                    F.concat_ws(" ", inside).alias("window"),
-                    plain.cast("array<string>").alias("plain"),
-                )
-            )
-            found = rows if found is None else found.union(rows)
-    if found is None:
-        found = docs.where("false").select(
+    if not counted:
+        return docs.where("false").select(
             *ids, F.lit(0).alias("at"), F.lit(0).cast("long").alias("key"), F.lit(0).alias("size"),
             F.lit("").alias("way"), F.lit("").alias("window"), F.array(F.lit("")).alias("plain"),
         )
+    ways = sorted({way for way, _ in counted})
+    texts = docs.select(*ids, *_cuts(F.col("text"), *sorted({*ways, "plain"})))
+    combos = F.array(*[F.struct(F.lit(way).alias("way"), F.lit(size).alias("size")) for way, size in counted])
+    words = functools.reduce(lambda out, way: out.when(F.col("c.way") == way, F.col(way)), ways[1:], F.when(F.col("c.way") == ways[0], F.col(ways[0])))
+    size = F.col("c.size")
+    starts = F.when((F.size("w") >= size) & (F.col("w")[0] != ""), F.sequence(F.lit(0), F.size("w") - size))
+    made = (
+        texts.select("*", F.explode(combos).alias("c"))
+        .select("*", words.alias("w"))
+        .select("*", F.explode(starts).alias("at"))
+        .select("*", _hash(F.col("w"), F.col("at"), size).alias("key"))
+    )
+    n = windows.select("way", "size", "key").distinct().count()
+    blocks = max(1, math.ceil(n / p.rows_per_broadcast))
+    found = None
+    for block in range(blocks):
+        keys = windows.where(F.pmod("key", F.lit(blocks)) == block).select(
+            F.col("way").alias("k_way"), F.col("size").alias("k_size"), F.col("key").alias("k_key")
+        ).distinct()
+        same = (F.col("key") == F.col("k_key")) & (F.col("c.way") == F.col("k_way")) & (F.col("c.size") == F.col("k_size"))
+        rows = (
+            made.where(F.pmod("key", F.lit(blocks)) == block)
+            .join(F.broadcast(keys), same, "left_semi")
+            .select(
+                "doc_id",
+                "text_hash",
+                "at",
+                "key",
+                size.alias("size"),
+                F.col("c.way").alias("way"),
+                F.concat_ws(" ", F.slice("w", F.col("at") + 1, size)).alias("window"),
+                F.when(F.col("c.way") != "plain", F.slice("plain", F.col("at") + 1, size)).cast("array<string>").alias("plain"),
+            )
+        )
+        found = rows if found is None else found.union(rows)
     return found
 
 

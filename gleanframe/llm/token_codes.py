@@ -61,7 +61,7 @@ class Codes:
     end_id: int = 2
     chunk_bits: int = 8
     shard_chars: int = 8 << 20
-    memo_pieces: int = 1_000_000
+    memo_pieces: int = 200_000
 
 
 def _splitter():

@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from gleanframe.operators.joins import join_unique
 from gleanframe.session import durable
 
 _GRAM = 16
@@ -46,6 +47,9 @@ class Repeats:
     regions_per_group: int = 2000
     block: int = 32
     bytes_at_once: int = 1 << 21
+    # An anchor met more often than this is spread over ``hot_salts`` tasks in the joins by anchor.
+    hot_rows: int = 20_000
+    hot_salts: int = 64
 
 
 def words_at(data: np.ndarray) -> np.ndarray:
@@ -298,10 +302,12 @@ def repeated_spans(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:
         .where("all > 1")
         .select("anchor", "kinds")
     )
-    chosen = durable(anchors.join(met, "anchor"))
+    # An anchor of a passage that many documents share is a hot key: its rows are salted.
+    chosen = durable(join_unique(anchors, met, ["anchor"], "inner", p.hot_rows, p.hot_salts))
     times = chosen.groupBy("anchor", "region").agg(F.count("*").alias("times"), F.min(F.struct("doc_key", "text_hash", "at", "low", "high")).alias("one"), F.first("kinds").alias("kinds"))
     times = durable(times)
-    whole = chosen.join(times.where("times > 1").select("anchor", "region"), ["anchor", "region"]).select(
+    again_met = times.where("times > 1").select("anchor", "region")
+    whole = join_unique(chosen, again_met, ["anchor", "region"], "inner", p.hot_rows, p.hot_salts).select(
         "doc_key", "text_hash", "low", (F.col("high") + p.length).alias("high")
     )
     mixed = times.where("kinds > 1").select("anchor", "one.*", F.ceil(F.col("kinds") / p.regions_per_group).alias("parts"))

@@ -39,8 +39,8 @@ def test_sorter_finds_equal_strings():
         assert [x for *_, s, e in regions(np.frombuffer(raw, np.uint8), p.length) for x in range(s, e + 1)] == list(starts)
 
 
-@pytest.mark.parametrize("group", [2000, 3, 2])
-def test_removal_against_brute_force(spark, group):
+@pytest.mark.parametrize("group, hot", [(2000, 20_000), (3, 20_000), (2, 20_000), (2000, 2)])
+def test_removal_against_brute_force(spark, group, hot):
     rng = random.Random(group)
     word = lambda: "".join(rng.choice("abcdeé ") for _ in range(rng.randint(1, 8)))
     text = lambda n: " ".join(word() for _ in range(n))
@@ -50,7 +50,7 @@ def test_removal_against_brute_force(spark, group):
         some = [rng.choice([text(8), rng.choice(passages), rng.choice(passages)[5:70]]) for _ in range(rng.randint(0, 5))]
         texts.append(" ".join(some))
     texts += [texts[3], texts[3], "", "short"]
-    got = remove_repeats(docs(spark, list(enumerate(texts))), Repeats(length=60, regions_per_group=group, block=8 if group == 3 else 32), keep_text=False)
+    got = remove_repeats(docs(spark, list(enumerate(texts))), Repeats(length=60, regions_per_group=group, block=8 if group == 3 else 32, hot_rows=hot, hot_salts=5), keep_text=False)
     rows = {r.doc_id: tuple(r)[1:] for r in got.collect()}
     want = removed([t.encode() for t in texts], 60)
     assert [rows[i] for i in range(len(texts))] == want

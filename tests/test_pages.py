@@ -188,3 +188,30 @@ def test_page_is_parsed_once(spark):
     ):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("ArrowEvalPython") == 1
+
+
+def test_plain_pages_are_read_without_the_parser_to_the_same_nodes():
+    import random
+
+    from gleanframe.sources.markup import _PageReader
+
+    class ByParser(_PageReader):
+        def _read_plain(self, page):
+            return False
+
+    bits = [
+        "<p>", "</p>", "<div class='a  b'>", "</div>", "<br>", "</br>", "<br/>", '<img src="x" alt=\'y z\'/>', "text ", "a &amp; b", "&lt",
+        "  \n", '<b x="1" X=\'2\' y>', "</b>", '<script type="application/ld+json">', '{"a": 1}', "</script>", "<SPAN >", "</span>", "<i/>",
+        "<!-- c -->", "<a href='?a=1&b'>", "</a>", "<", "<title>", "</title>", "&", "<p id=1>", "</ p>", "<style>", "</style>", "<o:p>",
+        "<!DOCTYPE html>",
+    ]
+    draw = random.Random(3)
+    plain = 0
+    for i in range(4000):
+        page = "".join(draw.choice(bits if i % 3 == 0 else bits[:20]) for _ in range(draw.randint(0, 14)))
+        fast, slow = _PageReader(), ByParser()
+        fast.read(page)
+        slow.read(page)
+        assert fast.to_arrow().equals(slow.to_arrow()), page
+        plain += _PageReader()._read_plain(page)
+    assert plain > 1000  # most pages of such pieces need no parser

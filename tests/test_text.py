@@ -123,3 +123,27 @@ def test_small_scalars(spark):
         tx.first_non_empty(F.lit(""), F.lit(None), F.lit("x")).alias("c"),
     ).first()
     assert (row.a, row.b, row.c) == (4, 0, "x")
+
+
+def _optimised(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_value_tested_for_blank_is_planned_once(spark):
+    given = spark.createDataFrame([(["a1", "", None],)], "xs array<string>")
+    inner = lambda x: tx.blank_to_null(F.upper(tx.blank_to_null(F.regexp_extract(x, "mark[0-9]", 0))))
+    df = given.select(F.transform("xs", inner).alias("ys"))
+    assert df.first().ys == [None, None, None]
+    assert _optimised(df).count("mark[0-9]") == 1
+
+
+def test_flat_labeled_values_cleans_the_text_once_for_all_groups(spark):
+    groups = [["Заказчик", "Организация"], ["Статус", "Состояние"], ["Срок"]]
+    lines = ["Организация - Рога и  копыта; СТАТУС:  открыт Заказчик № ", "Заказчик: а Статус:б", "", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string")
+    found = df.select("i", tx.flat_labeled_values(F.col("x"), groups).alias("found"))
+    each = df.select("i", F.array(*[tx.flat_labeled_value(F.col("x"), g) for g in groups]).alias("found"))
+    rows = {r.i: r.found for r in found.collect()}
+    assert rows == {r.i: r.found for r in each.collect()}
+    assert rows[0][1] == "открыт" and rows[1] == ["а", "б", None] and rows[2] == rows[3] == [None] * 3
+    assert _optimised(found).count("regexp_replace") == 1

@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,33 +63,38 @@ class OddSketch:
         return math.ceil(self.bits / 2 * share + math.sqrt(self.bits) / 2)
 
 
-class _Words(dict):
-    """Word -> 64-bit hash, remembered; forgotten as a whole before it grows large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_set(text: str | None, width: int, words: _Words) -> np.ndarray:
+@lru_cache
+def _places(n: int) -> np.ndarray:
+    """One odd factor for every place of a sequence of ``n`` hashes."""
+    return np.random.default_rng(3).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct shingle hashes. ``bytes.split`` and ``bytes.lower`` know ASCII only, as wanted."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
         return np.empty(0, np.uint64)
-    hashed = np.fromiter((words[w] for w in parts), np.uint64, len(parts))
+    # Texts hold many rare words: a word is hashed faster than it is found in a table of words.
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
     short = len(parts) < width
     width = min(width, len(parts))
-    total = np.zeros(len(parts) - width + 1, np.uint64)
-    for k in range(width):
-        total = _mix(total * _MIX + hashed[k : len(parts) - width + 1 + k])
-    return np.unique(_mix(total ^ np.uint64(width)) if short else total)
+    count, places = len(parts) - width + 1, _places(width)
+    total = hashed[:count] * places[0]
+    for k in range(1, width):
+        total += hashed[k : count + k] * places[k]
+    total = _mix(total)
+    if short:
+        total = _mix(total ^ np.uint64(width))
+    total.sort()
+    new = np.empty(count, bool)
+    new[0] = True
+    np.not_equal(total[1:], total[:-1], out=new[1:])
+    return total[new]
 
 
 class Sampler:
@@ -97,16 +103,23 @@ class Sampler:
     def __init__(self, p: OddSketch):
         rng = np.random.default_rng(p.seed)
         self.p = p
-        self.odd = rng.integers(0, 2**63, p.samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.plus = rng.integers(0, 2**63, p.samples, dtype=np.uint64)
+        # 32-bit products suffice: a set's hashes are spread evenly, and its smallest product names one of them.
+        self.odd = (rng.integers(0, 2**31, p.samples, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+        self.plus = rng.integers(0, 2**32, p.samples, dtype=np.uint32)[:, None]
         self.nth = _mix(np.arange(1, p.samples + 1, dtype=np.uint64) * _MIX)
+        # Products of one block stay in the cache of a core.
+        self.block = np.empty((p.samples, max(64, 131_072 // p.samples)), np.uint32)
 
     def samples(self, s: np.ndarray) -> np.ndarray:
-        low = np.full(self.p.samples, np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(s), 2048):
-            part = s[at : at + 2048][None, :] * self.odd[:, None] + self.plus[:, None]
-            part ^= part >> np.uint64(32)
-            low = np.minimum(low, part.min(axis=1))
+        s = (s >> np.uint64(32)).astype(np.uint32)
+        low = np.full(self.p.samples, np.iinfo(np.uint32).max, np.uint32)
+        step = self.block.shape[1]
+        for at in range(0, len(s), step):
+            part = s[at : at + step]
+            products = self.block[:, : len(part)]
+            np.multiply(part, self.odd, out=products)
+            np.add(products, self.plus, out=products)
+            np.minimum(low, products.min(axis=1), out=low)
         return _mix(low * _MIX + self.nth)
 
     def sketch(self, samples: np.ndarray) -> np.ndarray:
@@ -115,10 +128,7 @@ class Sampler:
 
     def bands(self, samples: np.ndarray) -> np.ndarray:
         rows = samples.reshape(self.p.bands, self.p.band_rows)
-        key = np.zeros(self.p.bands, np.uint64)
-        for k in range(self.p.band_rows):
-            key = _mix(key * _MIX + rows[:, k])
-        return key.view(np.int64)
+        return _mix((rows * _places(self.p.band_rows)).sum(axis=1, dtype=np.uint64)).view(np.int64)
 
 
 _SIGNATURE = "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
@@ -126,11 +136,11 @@ _SIGNATURE = "doc_id long, text_hash long, n_shingles long, digest binary, bands
 
 def _signatures(p: OddSketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, words = Sampler(p), _Words()
+        sampler = Sampler(p)
         for batch in batches:
             n, digests, bands, sketches = [], [], [], []
             for value in batch.column("text"):
-                s = shingle_set(value.as_py(), p.shingle_words, words)
+                s = shingle_set(value.as_py(), p.shingle_words)
                 n.append(len(s))
                 if not len(s):
                     digests.append(None), bands.append([]), sketches.append([])
@@ -177,7 +187,7 @@ def _confirm(p: OddSketch):
     """Holds each member's full set against the set of its lead; the lead's row comes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, lead, key = _Words(), None, None
+        lead, key = None, None
         for batch in batches:
             a, b = [], []
             leads, salts, members, firsts = (batch.column(c).to_pylist() for c in ("a", "salt", "b", "is_lead"))
@@ -186,9 +196,9 @@ def _confirm(p: OddSketch):
                 if firsts[i]:
                     if key != (leads[i], salts[i]):
                         key = (leads[i], salts[i])
-                        lead = shingle_set(text.as_py(), p.shingle_words, words)
+                        lead = shingle_set(text.as_py(), p.shingle_words)
                     continue
-                s = shingle_set(text.as_py(), p.shingle_words, words)
+                s = shingle_set(text.as_py(), p.shingle_words)
                 both = len(np.intersect1d(lead, s, assume_unique=True))
                 if 100 * both >= p.percent * (len(lead) + len(s) - both):
                     a.append(leads[i]), b.append(members[i])
@@ -262,10 +272,9 @@ def _best_stars(open_rows: DataFrame, facts: DataFrame, turn: int, p: OddSketch)
 
 def _shingles(p: OddSketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
         for batch in batches:
             for rep, text in zip(batch.column("rep").to_pylist(), batch.column("text")):
-                s = shingle_set(text.as_py(), p.shingle_words, words).view(np.int64)
+                s = shingle_set(text.as_py(), p.shingle_words).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(s), rep), pa.int64()), pa.array(s, pa.int64())], names=["rep", "shingle"]
                 )
@@ -275,10 +284,10 @@ def _shingles(p: OddSketch):
 
 def _sketches(p: OddSketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, words = Sampler(p), _Words()
+        sampler = Sampler(p)
         for batch in batches:
             found = [
-                sampler.sketch(sampler.samples(shingle_set(x.as_py(), p.shingle_words, words))) for x in batch.column("text")
+                sampler.sketch(sampler.samples(shingle_set(x.as_py(), p.shingle_words))) for x in batch.column("text")
             ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("rep"), pa.array(found, pa.list_(pa.int64()))], names=["rep", "sketch"]

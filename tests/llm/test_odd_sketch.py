@@ -1,8 +1,12 @@
+import math
 import random
 import re
+import tracemalloc
+
+import numpy as np
 
 from gleanframe.llm.components import components
-from gleanframe.llm.odd_sketch import OddSketch, near_duplicates
+from gleanframe.llm.odd_sketch import OddSketch, Sampler, near_duplicates, shingle_set
 from tests.llm.helpers import docs
 
 
@@ -71,3 +75,26 @@ def test_components_of_chains_stars_and_loops(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = {i: 100 for i in range(100, 161)} | {i: 300 for i in range(300, 340)} | {8: 8, 9: 8}
     assert got == want
+
+
+def test_samples_of_large_sets_are_made_in_small_blocks():
+    sampler = Sampler(OddSketch(bands=1, band_rows=1024, bits=2048))
+    large = np.random.default_rng(1).integers(0, 2**63, 20_000, dtype=np.uint64)
+    tracemalloc.start()
+    sampler.samples(large)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1_000_000
+
+
+def test_samples_agree_as_often_as_sets_are_similar():
+    p = OddSketch(bands=1, band_rows=4096)
+    sampler = Sampler(p)
+    texts = [" ".join(f"w{i}" for i in range(a, a + 2_004)) for a in (0, 100, 400, 2_100)]
+    first, *others = [shingle_set(t, 5) for t in texts]
+    assert len(first) == 2_000
+    for other, shared in zip(others, (1_900, 1_600, 0)):
+        similarity = shared / (4_000 - shared)
+        assert len(np.intersect1d(first, other)) == shared
+        agree = np.mean(sampler.samples(first) == sampler.samples(other))
+        assert abs(agree - similarity) <= 5 * math.sqrt(similarity * (1 - similarity) / p.samples)

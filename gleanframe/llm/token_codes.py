@@ -8,8 +8,10 @@ is the rank of its bit (ones before it). A rank directory per level (ones before
 decoding the ones before it, and small ids (most of a vocabulary) take one chunk and one bit.
 
 Texts are encoded by the tokenizers library piece by piece: the byte-level pattern cuts a text into
-pieces that BPE never merges across, each distinct piece of a shard is encoded once and its ids are
-reused (``memo_pieces`` bounds the memo). Tests hold the ids against whole-text encoding.
+pieces that BPE never merges across. The cuts of a batch are found as arrays (:class:`Cutter`; which
+kind a character is, the library's own pre-tokenizer says), the pieces are a second Arrow array over
+the same text bytes, and only distinct ones that the worker has not met go to the library's model
+(``memo_pieces`` bounds what it remembers). Tests hold the ids against whole-text encoding.
 
 Spark does the work: documents are range-partitioned by ``doc_id``, each partition is one shard
 that tokenizes its documents in ascending order and encodes their ids as one code; the codes are a
@@ -31,11 +33,12 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from gleanframe.session import shared_folder
@@ -44,7 +47,7 @@ MAGIC = b"DAC1"
 BLOCK_BITS = 512
 
 _TOKENIZERS: dict[str, object] = {}
-_MEMOS: dict[str, dict[str, list[int]]] = {}
+_MEMOS: dict[str, "Memo"] = {}
 
 
 def default_vocabulary() -> str:
@@ -61,15 +64,7 @@ class Codes:
     end_id: int = 2
     chunk_bits: int = 8
     shard_chars: int = 8 << 20
-    memo_pieces: int = 200_000
-
-
-def _splitter():
-    """The pattern that cuts text into the pieces byte-level BPE encodes one by one."""
-    import public_tokenizers
-    import regex
-
-    return regex.compile(public_tokenizers.PATTERN).findall
+    memo_pieces: int = 1_000_000
 
 
 def _tokenizer(path: str):
@@ -84,6 +79,151 @@ def _tokenizer(path: str):
     return found
 
 
+# ---------------------------------------------------------------------------------------------
+# Texts to ids
+# ---------------------------------------------------------------------------------------------
+
+_SPACE, _LETTER, _DIGIT, _OTHER, _UNMET = range(5)
+_CUT_BYTES = 4 << 20
+
+
+class Cutter:
+    """Where the byte-level pattern cuts texts: ``'s|'t|'re|'ve|'m|'ll|'d`` and runs of one kind of
+    character, each with one blank before it; of other white space the last character stands alone."""
+
+    def __init__(self, tokenizer):
+        self._pieces = tokenizer.pre_tokenizer.pre_tokenize_str
+        self._kinds = np.full(0x110000, _UNMET, np.uint8)
+
+    def _kind(self, char: str) -> int:
+        for kind, mate in ((_LETTER, "a"), (_DIGIT, "1"), (_OTHER, "!")):
+            if len(self._pieces(mate + char)) == 1:
+                return kind
+        return _SPACE
+
+    def starts(self, points: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """Whether a piece starts at each code point; ``heads`` are the places where texts start."""
+        kind = self._kinds[points]
+        if (kind == _UNMET).any():
+            for point in np.unique(points[kind == _UNMET]).tolist():
+                self._kinds[point] = self._kind(chr(point))
+            kind = self._kinds[points]
+        head = np.zeros(len(points) + 1, bool)
+        head[heads] = True
+        head[-1] = True
+        space = kind == _SPACE
+        out = np.empty(len(points), bool)
+        out[1:] = np.where(space[1:] | space[:-1], ~space[:-1], kind[1:] != kind[:-1])
+        # A run of white space leaves its last character to what follows, which takes it in if it is a blank.
+        last = np.flatnonzero(space & ~head[1:])
+        last = last[~space[last + 1]]
+        out[last] = True
+        out[last + 1] = points[last] != 32
+        out[head[:-1]] = True
+        self._contractions(points, head, kind, out)
+        return out
+
+    @staticmethod
+    def _contractions(points: np.ndarray, head: np.ndarray, kind: np.ndarray, out: np.ndarray) -> None:
+        marks = np.flatnonzero((points == 39) & out)
+        marks = marks[~head[marks + 1]]
+        one = points[marks + 1]
+        beyond = np.minimum(marks + 2, len(points) - 1)
+        two = np.where(head[marks + 2], 0, points[beyond])
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        out[marks[short | long] + 1] = False
+        for ends in (marks[short] + 2, marks[long] + 3):
+            out[ends[ends < len(out)]] = True
+
+    def pieces(self, texts: pa.LargeStringArray) -> tuple[list[pa.LargeStringArray], np.ndarray]:
+        """The pieces of non-null texts, over the same bytes, and how many pieces each text has."""
+        _, offsets, data = texts.buffers()
+        bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+        found, counts = [], []
+        row = 0
+        while row < len(texts):
+            until = max(row + 1, int(np.searchsorted(bounds, bounds[row] + _CUT_BYTES, "right")) - 1)
+            low, high = int(bounds[row]), int(bounds[until])
+            part = raw[low:high]
+            places = np.flatnonzero((part & 0xC0) != 0x80)
+            points = np.frombuffer(part.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+            heads = np.searchsorted(places, bounds[row:until] - low)
+            cuts = np.concatenate([places[self.starts(points, heads)] + low, [high]]) if high > low else np.array([low])
+            counts.append(np.diff(np.searchsorted(cuts, bounds[row : until + 1])))
+            if len(cuts) > 1:
+                found.append(pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64)), data))
+            row = until
+        return found, np.concatenate(counts) if counts else np.empty(0, np.int64)
+
+
+def _byte_names() -> list[str]:
+    """The character by which byte-level vocabularies write each byte."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+class Memo:
+    """Ids of the pieces a worker has met, as arrays; lives as long as the worker."""
+
+    def __init__(self, tokenizer):
+        self.cutter = Cutter(tokenizer)
+        self._tokenize = tokenizer.model.tokenize
+        self._names = dict(enumerate(_byte_names()))
+        self._clear()
+
+    def _clear(self) -> None:
+        self._known = pa.array([], pa.large_string())
+        self._ids = np.empty(0, np.uint32)
+        self._ends = np.zeros(1, np.int64)
+
+    def _named(self, piece: str) -> str:
+        if piece.isascii() and piece.isprintable():  # all of these but the blank are their own names
+            return piece.replace(" ", self._names[32])
+        return piece.encode().decode("latin-1").translate(self._names)
+
+    def _learn(self, pieces: pa.LargeStringArray) -> None:
+        got = [[t.id for t in self._tokenize(self._named(piece))] for piece in pieces.to_pylist()]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        self._known = pa.concat_arrays([self._known, pieces])
+        self._ids = np.concatenate([self._ids, np.fromiter((i for ids in got for i in ids), np.uint32, sizes.sum())])
+        self._ends = np.concatenate([self._ends, self._ends[-1] + np.cumsum(sizes)])
+
+    def _places(self, distinct: pa.LargeStringArray, most: int) -> np.ndarray:
+        """The place of each distinct piece among the known ones; new ones are added, all others go if they get too many."""
+        found = pc.index_in(distinct, value_set=self._known)
+        if len(self._known) + found.null_count > most:
+            self._clear()
+            found = pa.nulls(len(distinct), pa.int32())
+        at = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = len(self._known) + np.arange(len(new))
+            self._learn(distinct.take(pa.array(new)))
+        return at
+
+    def encode(self, texts: pa.LargeStringArray, end_id: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, ``end_id`` after each, and how many each has with it."""
+        pieces, counts = self.cutter.pieces(texts)
+        flat, ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        if pieces:
+            coded = pa.chunked_array(pieces).dictionary_encode().unify_dictionaries()
+            places = self._places(coded.chunk(0).dictionary, most)
+            at = places[np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks])]
+            sizes = np.diff(self._ends)[at]
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            flat = self._ids[np.repeat(self._ends[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        amounts = np.diff(ends[np.concatenate([[0], np.cumsum(counts)])]) + 1
+        out = np.empty(len(flat) + len(amounts), np.uint32)
+        inner = np.ones(len(out), bool)
+        inner[np.cumsum(amounts) - 1] = False
+        out[inner] = flat
+        out[~inner] = end_id
+        return out, amounts
+
+
 # ---------------------------------------------------------------------------------------------
 # The code of one shard
 # ---------------------------------------------------------------------------------------------
@@ -222,48 +362,43 @@ def write_codes(docs: DataFrame, path: str, codes: Codes = Codes()) -> None:
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
         F.monotonically_increasing_id().alias("place"),
     )
-    chars = rows.agg(F.sum(F.length("text") + 1).alias("c")).first().c or 0
-    shards = max(1, math.ceil(chars / codes.shard_chars))
-
-    def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Ranges are drawn on doc_id alone, so that no text is among the sampled keys the driver gets; only the
+    # rows of a doc_id with more text than a shard may hold are ranged by their text and place too.
+    sizes = rows.groupBy("no_id", "doc_id").agg(F.sum(F.length("text") + 1).alias("c"))
+    total = sizes.agg(F.sum("c").alias("chars"), F.max("c").alias("most")).first()
+    shards = max(1, math.ceil((total.chars or 0) / codes.shard_chars))
+    rows = rows.withColumn("tie", F.lit(None).cast("struct<text:string,place:long>"))
+    if (total.most or 0) > codes.shard_chars:
+        many = sizes.where(F.col("c") > codes.shard_chars).select("no_id", "doc_id", F.lit(True).alias("many"))
+        rows = rows.join(many, ["no_id", "doc_id"], "left").withColumn("tie", F.when(F.col("many"), F.struct("text", "place")))
+
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One shard, batch by batch in the order Spark sorted it: only ids are kept, as arrays."""
         from pyspark import TaskContext
 
-        tokenizer = _tokenizer(vocabulary)
-        split = _splitter()
-        # The memo lives as long as the Python worker, so later shards find the pieces of earlier ones.
-        known = _MEMOS.setdefault(vocabulary, {})
-        pieces, keys, lengths = [], [], []
+        memo = _MEMOS.get(vocabulary)
+        if memo is None:
+            memo = _MEMOS[vocabulary] = Memo(_tokenizer(vocabulary))
+        parts, keys, lengths = [], [], []
         for batch in batches:
-            # Byte-level BPE never merges across the pieces its pattern cuts, so each distinct piece
-            # is encoded once by the tokenizer and its ids reused (a bounded memo, cleared when full).
-            cut = [split(text) for text in batch["text"]]
-            if not cut:
+            if not batch.num_rows:
                 continue
-            new = [p for p in set(chain.from_iterable(cut)) if p not in known]
-            if len(known) + len(new) > codes.memo_pieces:
-                known.clear()
-                new = list(set(chain.from_iterable(cut)))
-            for piece, encoded in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[piece] = encoded.ids
-            # All ids of the batch in one array, cut at the documents' ends.
-            got = known.__getitem__
-            flat = np.array(list(chain.from_iterable(map(got, chain.from_iterable(cut)))), np.uint32)
-            sizes = np.array([sum(map(len, map(got, ps))) for ps in cut], np.int64)
-            for ids in np.split(flat, np.cumsum(sizes)[:-1]):
-                pieces.append(np.append(ids, np.uint32(codes.end_id)))
-            lengths += (sizes + 1).tolist()
-            keys += [None if gone else int(d) for gone, d in zip(batch["no_id"], batch["doc_id"])]
+            ids, amounts = memo.encode(batch.column("text").cast(pa.large_string()), codes.end_id, codes.memo_pieces)
+            parts.append(ids)
+            lengths.append(amounts)
+            keys += [None if gone else d for gone, d in zip(batch.column("no_id").to_pylist(), batch.column("doc_id").to_pylist())]
         if not keys:
             return
-        ids = np.concatenate(pieces)
-        del pieces
-        blob = pack_shard(ids, keys, np.array(lengths, np.int64), codes.chunk_bits)
-        yield pd.DataFrame({"shard": [TaskContext.get().partitionId()], "n_docs": [len(keys)], "n_ids": [len(ids)], "code": [blob]})
-
-    order = [F.col("no_id").desc(), "doc_id", "text", "place"]
-    ordered = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
-    ordered.mapInPandas(shard, SHARDS).write.mode("overwrite").parquet(path)
+        ids = np.concatenate(parts)
+        del parts
+        blob = pack_shard(ids, keys, np.concatenate(lengths), codes.chunk_bits)
+        row = ([TaskContext.get().partitionId()], [len(keys)], [len(ids)], [blob])
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds)], names=SHARDS.names)
+
+    key = [F.col("no_id").desc(), "doc_id"]
+    ordered = rows.repartitionByRange(shards, *key, "tie").sortWithinPartitions(*key, "text", "place")
+    ordered.select("no_id", "doc_id", "text").mapInArrow(shard, SHARDS).write.mode("overwrite").parquet(path)
 
 
 def read_codes(spark, path: str) -> DataFrame:

@@ -1,10 +1,14 @@
 """Token codes: exact round trips of the code and of documents written and read back."""
 
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from gleanframe.llm.token_codes import Codes, Shard, _tokenizer, default_vocabulary, encode, pack_shard, token_codes
+from gleanframe.llm import token_codes as module
+from gleanframe.llm.token_codes import Codes, Memo, Shard, _tokenizer, default_vocabulary, encode, pack_shard, token_codes
 from tests.llm.helpers import docs
 
 
@@ -47,3 +51,29 @@ def test_documents_against_a_plain_loop(spark):
 
 def test_empty_table(spark):
     assert token_codes(docs(spark, [(1, "x")]).where("false")).count() == 0
+
+
+@pytest.mark.parametrize("cut_bytes, most", [(1, 10**6), (60, 30), (4 << 20, 10**6)])
+def test_pieces_encode_like_whole_texts(monkeypatch, cut_bytes, most):
+    """Contractions, white space of all kinds, and letters that only the library's tables know."""
+    monkeypatch.setattr(module, "_CUT_BYTES", cut_bytes)
+    rng = random.Random(cut_bytes)
+    bits = [*"aZsStmdrelv  ''\n\t\x85\x1c\x00é\u01319٣!’中😀\u3000\ua7ce\u088f", "'s", "'ll", " '", "'re", " the ", "<|endoftext|>"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(600)]
+    tokenizer = _tokenizer(default_vocabulary())
+    memo = Memo(tokenizer)
+    for at in range(0, 600, 50):
+        part = pa.array(["before", *texts[at : at + 50]], pa.large_string()).slice(1)
+        ids, amounts = memo.encode(part, 2, most)
+        got = [x.tolist() for x in np.split(ids, np.cumsum(amounts)[:-1])]
+        assert got == [tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts[at : at + 50]]
+
+
+def test_ranges_draw_no_text_to_the_driver(spark, tmp_path):
+    """Only a doc_id with more text than a shard holds is ranged by its texts; then it is split."""
+    rows = [(7, f"{i % 5} some text {i}") for i in range(400)] + [(None, "same text")] * 300 + [(i, "x") for i in range(30)]
+    rows = [(d, t) for d, t in random.Random(1).sample(rows, len(rows))]
+    path = str(tmp_path / "codes")
+    got = token_codes(docs(spark, rows), Codes(shard_chars=1500), path).collect()
+    assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got), key=str) == brute(rows)
+    assert max(r.n_docs for r in spark.read.parquet(path).collect()) < 300

@@ -1,7 +1,14 @@
 import json
 from decimal import Decimal
 
-from gleanframe.operators.records import build_listings, extract_products, extract_purchases
+from gleanframe.operators.records import (
+    build_listings,
+    complete_purchases,
+    extract_products,
+    extract_purchases,
+    numbered_attachments,
+    with_own_references,
+)
 from gleanframe.plans.spec import ProductSpec, PurchaseSpec
 from tests.helpers import pages, utc
 
@@ -118,3 +125,25 @@ def test_availability_order(spark):
 def test_empty_and_missing_pages(spark):
     rows = extract_purchases(pages(spark, ("a", None), ("b", "")), NOTICES).collect()
     assert [(r.page_number, r.page_title, r.price, r.attachments) for r in rows] == [(None, None, None, [])] * 2
+
+
+def test_numbered_attachments_are_those_of_the_records(spark):
+    """Only the number's labels are looked for; a label of another field beside it changes nothing."""
+    link = '<a href="/f/plan.pdf">План</a><span data-href="/get?id=1">Скачать файл</span>'
+    bodies = [
+        "<table><tr><th>Номер закупки</th><td>№ 5544</td></tr><tr><th>Статус закупки</th><td>x</td></tr></table>" + link,
+        "<dl><dt>Номер закупки:</dt><dd></dd><dt>Заказчик:</dt><dd>АО</dd></dl>" + link,
+        "<div><span>Номер закупки</span><b>Статус</b><span>7</span></div>",
+        "<p>Номер закупки: 8 Статус: новый</p>" + link,
+        '<div class="notice-number">№ 9</div><p>Номер закупки: 10</p>',
+        "<p>НМЦК 5</p><a href='a.zip'>1</a><a href='a.zip'>2</a>",
+        "",
+        None,
+    ]
+    urls = [f"https://tenders.example/n/{i}" for i in range(len(bodies))]
+    read = pages(spark, *zip(urls, bodies), (urls[0], bodies[0]), (None, bodies[0]))
+    whole = complete_purchases(with_own_references(extract_purchases(read, NOTICES)), NOTICES)
+    columns = ["source", "external_id", "attachments", "page_no", "pos"]
+    got = numbered_attachments(read, NOTICES)
+    assert got.columns == columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole.select(columns).collect()))
